@@ -84,8 +84,7 @@ def broken_references(refs: DataFrame, parents: DataFrame, per_range: int = 200_
     reference without a time, is never late. Empty tables give no rows."""
     n = max(1, math.ceil(max(parents.count(), 1) / per_range))
     # equal ranges of the 64-bit key space, ascending
-    width = math.ceil(2**64 / n)
-    rng = F.floor((F.col("h").cast("decimal(20,0)") + F.lit(2**63).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)")).cast("int") if n > 1 else F.lit(0)
+    rng = F.least(F.lit(n - 1), F.floor((F.col("h").cast("double") / 2.0**63 + 1) / 2 * n)).cast("int")
     refs = refs.withColumn("r", rng)
     salts = refs.groupBy("r").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(per_range // 4))).cast("int").alias("salts"))
     r = refs.join(salts, "r").withColumn("s", F.pmod(F.xxhash64("table_name", "row_key"), F.col("salts")).cast("int"))

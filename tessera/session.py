@@ -31,14 +31,27 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder and drop its lineage. The files
-    are ordinary replicated storage, so a lost executor loses nothing."""
+def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and
+    as the files are ordinary shared storage a lost executor loses nothing.
+    Tables in ``done`` (made by an earlier cut) are no longer needed and deleted."""
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    path = new_path(spark, "cut")
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_cut_path"] = path
+    for d in done:
+        forget(d)
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of a cut table."""
+    path = df.__dict__.pop("_cut_path", None)
+    if path:
+        spark = df.sparkSession
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def parallelism(spark: SparkSession) -> int:
