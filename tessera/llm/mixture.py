@@ -22,8 +22,8 @@ BITS, LEVELS = 12, 5  # 5 levels of 4,096 buckets: 60 bits of hash
 
 
 def _thresholds(sized: DataFrame, budget: DataFrame) -> DataFrame:
-    """source, threshold: the records with h < threshold are the largest prefix (in
-    order of hash) whose tokens do not exceed the source's rest budget."""
+    """source, threshold: the records with h < threshold are the prefix (in order of
+    hash) whose tokens come closest to the source's rest budget."""
     state = budget.select("source", F.lit(0).cast("long").alias("base"), F.col("rest").alias("left"))
     for level in range(LEVELS):
         shift = BITS * (LEVELS - 1 - level)
@@ -35,12 +35,14 @@ def _thresholds(sized: DataFrame, budget: DataFrame) -> DataFrame:
         w = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
         run = hist.withColumn("c", F.sum("t").over(w))
         edge = run.groupBy("source").agg(
-            F.min(F.when(F.col("c") > F.col("left"), F.struct("b", (F.col("c") - F.col("t")).alias("before")))).alias("e"),
+            F.min(F.when(F.col("c") > F.col("left"), F.struct("b", (F.col("c") - F.col("t")).alias("before"), "t"))).alias("e"),
         )
         # a source that stays within its budget takes all that is left of its bucket
+        # the record at the edge is taken if that brings the source closer to its budget
+        closer = F.lit(0) if shift else F.when(F.col("e.t") < 2 * (F.col("left") - F.col("e.before")), 1).otherwise(0)
         state = state.join(edge, "source", "left").select(
             "source",
-            F.when(F.col("e").isNotNull(), F.shiftleft(F.col("e.b"), shift)).otherwise(F.lit(2**60) if level == 0 else F.col("base") + F.lit(1 << (shift + BITS))).alias("base"),
+            F.when(F.col("e").isNotNull(), F.shiftleft(F.col("e.b"), shift) + closer).otherwise(F.lit(2**60) if level == 0 else F.col("base") + F.lit(1 << (shift + BITS))).alias("base"),
             F.when(F.col("e").isNotNull(), F.col("left") - F.col("e.before")).otherwise(F.lit(-1).cast("long")).alias("left"),
         )
         state = cut(state)
