@@ -115,22 +115,28 @@ def _token(x: str, y: str, miss: float) -> str:
       else {miss}D end"""
 
 
+#: Birth dates one slip apart: day and month swapped, one digit, a year off, or up to a month of days.
+_SLIP = (
+    "(substr(a_dob,1,4) = substr(b_dob,1,4) and substr(a_dob,5,2) = substr(b_dob,7,2) and substr(a_dob,7,2) = substr(b_dob,5,2)"
+    " or levenshtein(a_dob,b_dob,1) = 1 or abs(try_cast(a_dob as int) - try_cast(b_dob as int)) = 10000"
+    " or abs(datediff(try_to_timestamp(a_dob,'yyyyMMdd'), try_to_timestamp(b_dob,'yyyyMMdd'))) <= 31)"
+)
+
+
 def base_score() -> Column:
     """Agreement of names and birth dates of a pair with columns a_n1, a_n2, a_dob,
     b_n1, b_n2, b_dob. Different first names are different people (relatives share
     all else) unless the birth date is the same."""
     straight = f"({_token('a_n1', 'b_n1', -9)} + {_token('a_n2', 'b_n2', -2)})"
     crossed = f"(case when a_n1 = b_n2 or a_n2 = b_n1 then {_token('a_n1', 'b_n2', -9)} + {_token('a_n2', 'b_n1', -9)} - 0.5D else -30D end)"
-    swap = "substr({0},1,4) = substr({1},1,4) and substr({0},5,2) = substr({1},7,2) and substr({0},7,2) = substr({1},5,2)".format("a_dob", "b_dob")
-    dob = f"case when a_dob is null or b_dob is null then 0D when a_dob = b_dob then 7D when {swap} or levenshtein(a_dob,b_dob,1) = 1 then 3D else -9D end"
+    dob = f"case when a_dob is null or b_dob is null then 0D when a_dob = b_dob then 7D when coalesce({_SLIP}, false) then 3D else -9D end"
     names = f"greatest({straight},{crossed})"
     return F.expr(f"{names} + {dob} - case when {names} <= -5 and not coalesce(a_dob = b_dob, false) then 30D else 0D end")
 
 
 def dates_clash() -> Column:
     """The pair's birth dates are known and neither equal nor one slip apart."""
-    swap = "substr({0},1,4) = substr({1},1,4) and substr({0},5,2) = substr({1},7,2) and substr({0},7,2) = substr({1},5,2)".format("a_dob", "b_dob")
-    return F.expr(f"coalesce(a_dob <> b_dob and not ({swap}) and levenshtein(a_dob,b_dob,1) <> 1, false)")
+    return F.expr(f"coalesce(a_dob <> b_dob and not coalesce({_SLIP}, false), false)")
 
 
 def shared_score(mask: Column) -> Column:

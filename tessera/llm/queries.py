@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import groups, linkage, lookalikes, mixture, survivors, tokens
+from tessera.llm import batches, groups, linkage, lookalikes, mixture, survivors, tokens
 from tessera.session import table
 
 
@@ -21,6 +21,15 @@ def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
     return linkage.matched_pairs(_intake(spark, d), confidence=True)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return batches.turned_away(_intake(spark, d)).select("row_id")
+
+
+def p2_batches(spark: SparkSession, d: str) -> DataFrame:
+    away = batches.turned_away(_intake(spark, d))
+    return away.groupBy("source", F.to_date("first_seen_at").alias("batch")).agg(F.count("*").alias("turned_away"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     links = groups.record_links(table(spark, d, "source_records"), table(spark, d, "evidence_edges"), table(spark, d, "gm_match_log"))
     return groups.connected_groups(links).select(F.col("vertex").alias("row_id"), F.col("group").alias("group_row_id"))
@@ -56,7 +65,7 @@ def p10_common(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", lookalikes.common_form_of("text").alias("common"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p4_found": p4_found, "p7_found": p7_found, "p7_fused": p7_fused, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_common": p10_common}
+QUERIES = {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_batches": p2_batches, "p4_found": p4_found, "p7_found": p7_found, "p7_fused": p7_fused, "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_common": p10_common}
 SQL = {
     "p4_found": """with recursive r as (select distinct row_id, record_id from source_records),
 l0 as (select a.row_id u, b.row_id v from evidence_edges e join r a on e.record_a_id = a.record_id join r b on e.record_b_id = b.record_id where lower(trim(kind)) = 'same_as'
