@@ -358,7 +358,7 @@ def phone_validate(c):
 
 
 # ---- dates --------------------------------------------------------------
-_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy", "MM-dd-yyyy", "yyyyMMdd", "dd MMM yyyy", "MMM dd, yyyy", "MMMM dd, yyyy", "d MMM yyyy", "M/d/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
+_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy", "MM-dd-yyyy", "yyyyMMdd", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy", "M/d/yyyy", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss"]
 
 
 def _date(c, *formats):
