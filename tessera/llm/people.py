@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.survivors import FIELDS, STAND_INS
+from tessera.session import cut
 
 #: Latin letters with marks and their base letter, by rule.
 _MARKED = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFD", c)[0].isascii()}
@@ -22,18 +23,25 @@ ATTRIBUTES = ["n1", "n2", "email", "phone", "dob", "addr", "zip", "city"]
 
 
 def _clean(c: Column) -> Column:
-    v = F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    v = F.lower(F.trim(c, F.lit(" \t\r\n")))
+    v = F.when(v.contains("  ") | v.contains("\t") | v.contains("\n"), F.regexp_replace(v, r"\s+", " ")).otherwise(v)
     return F.when(~v.isin(*sorted(STAND_INS)), v)
 
 
+def _fold(c: Column) -> Column:
+    return F.when(F.length(c) != F.octet_length(c), F.translate(c, _FROM, _TO)).otherwise(c)
+
+
 def profiles(records: DataFrame, *keep: str) -> DataFrame:
     """``keep`` columns and the attributes n1, n2 (first and last name token),
     email, phone (10 digits), dob (yyyymmdd), addr (house number and street
     word), zip, city; absent, blank and stand-in values are null. Cut-off
-    payloads give the values that are still whole; null payloads give nulls."""
+    payloads give the values that are still whole; null payloads give nulls.
+
+    The result is written: filters on it must not be pushed into the parsing
+    expressions, which they would multiply."""
     raw = F.col("payload")
-    m = F.from_json(raw, "map<string,string>")
-    r = records.select(*keep, "source", "payload", m.alias("m"))
+    r = records.select(*keep, *([] if "source" in keep else ["source"]), "payload", F.from_json(raw, "map<string,string>").alias("m"))
     broken = F.col("m").isNull() | (F.size("m") <= 0)
 
     def get(field: str) -> Column:
@@ -45,45 +53,49 @@ def profiles(records: DataFrame, *keep: str) -> DataFrame:
             is_object = F.col("m")[nested[0]].startswith("{")
             found = F.when(is_object, inner).otherwise(found)
         cut_off = F.regexp_extract(raw, rf'"(?i:{"|".join(FIELDS[field])})"\s*:\s*"?([^"{{}},]*)"?\s*[,}}]', 1)
-        return _clean(F.when(broken, F.when(cut_off != "", cut_off)).otherwise(found))
-
-    r = r.select(*keep, "source", *[get(f).alias(f) for f in FIELDS])
-    fold = lambda c: F.translate(c, _FROM, _TO)
-    comma = F.col("full_name").contains(",")
-    full = F.when(comma, F.concat_ws(" ", F.trim(F.substring_index("full_name", ",", -1)), F.trim(F.substring_index("full_name", ",", 1)))).otherwise(F.col("full_name"))
+        return F.when(broken, F.when(cut_off != "", cut_off)).otherwise(found)
+
+    # one step a layer: a layer that is used more than once is not inlined again
+    r = r.select(*keep, "source", *[get(f).alias(f) for f in FIELDS if f != "state"])
+    r = r.select(*keep, "source", *[_clean(F.col(f)).alias(f) for f in FIELDS if f != "state"])
+    full = F.col("full_name")
+    turned = F.when(full.contains(","), F.concat_ws(" ", F.trim(F.substring_index(full, ",", -1)), F.trim(F.substring_index(full, ",", 1)))).otherwise(full)
+    whole = F.trim(_fold(F.coalesce(turned, F.concat_ws(" ", F.col("first_name"), F.col("last_name")))))
+    r = r.select("*", whole.alias("whole"), _fold(F.col("address")).alias("line"), F.right(F.regexp_replace("phone", r"\D", ""), F.lit(10)).alias("ten"))
     # middle initials go, wherever the feed puts them
-    whole = F.coalesce(full, F.concat_ws(" ", F.col("first_name"), F.col("last_name")))
-    whole = F.regexp_replace(F.trim(fold(whole)), r"(?<=\S) (?:[a-z]\.? )+(?=\S)", " ")
-    one = F.when(~whole.contains(" "), whole)
-    n1 = F.when(one.isNotNull(), F.when(F.col("first_name").isNotNull() | F.col("full_name").isNotNull(), one)).otherwise(F.substring_index(whole, " ", 1))
-    n2 = F.when(one.isNotNull(), F.when(F.col("first_name").isNull() & F.col("full_name").isNull(), one)).otherwise(F.substring_index(whole, " ", -1))
-    digits = F.regexp_replace("phone", r"\D", "")
-    ten = F.right(digits, F.lit(10))
-    phone = F.when((F.length(digits) >= 10) & ~ten.rlike(r"^(\d)\1{9}$"), ten)
-    d = F.col("birth_date")
-    part = lambda pat, i: F.regexp_extract(d, pat, i)
-    slash = r"^(\d\d?)/(\d\d?)/(\d{4})$"
+    spaces = F.length("whole") - F.length(F.replace(F.col("whole"), F.lit(" "), F.lit("")))
+    r = r.withColumn("whole", F.when(spaces >= 2, F.regexp_replace("whole", r"(?<=\S) (?:[a-z]\.? )+(?=\S)", " ")).otherwise(F.col("whole")))
+    whole, one, surname_only = F.col("whole"), ~F.col("whole").contains(" "), F.col("first_name").isNull() & F.col("full_name").isNull()
+    n1 = F.when(whole != "", F.when(one, F.when(~surname_only, whole)).otherwise(F.substring_index(whole, " ", 1)))
+    n2 = F.when(whole != "", F.when(one, F.when(surname_only, whole)).otherwise(F.substring_index(whole, " ", -1)))
+    phone = F.when((F.length("ten") == 10) & ~F.col("ten").isin(*[str(x) * 10 for x in range(10)]), F.col("ten"))
+    d, at = F.col("birth_date"), lambda i, n: F.substring("birth_date", i, n)
+    part = lambda sep, i: F.lpad(F.split_part(d, F.lit(sep), F.lit(i)), 2, "0")
+    month = F.lpad(((F.position(F.substring(F.split_part(d, F.lit(" "), F.lit(2)), 1, 3), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3).cast("int").cast("string"), 2, "0")
     day_first = F.col("source").isin(*DAY_FIRST)
-    two = lambda c: F.lpad(c, 2, "0")
-    named = r"^(\d\d?) ([a-z]{3})[a-z]* (\d{4})$"
-    months = "janfebmaraprmayjunjulaugsepoctnovdec"
+    slash = d.contains("/")
     dob = (
-        F.when(d.rlike(r"^\d{4}-\d\d-\d\d"), F.regexp_replace(F.substring(d, 1, 10), "-", ""))
-        .when(d.rlike(r"^\d{8}$"), d)
-        .when(d.rlike(slash), F.concat(part(slash, 3), two(F.when(day_first, part(slash, 2)).otherwise(part(slash, 1))), two(F.when(day_first, part(slash, 1)).otherwise(part(slash, 2)))))
-        .when(d.rlike(r"^\d\d\.\d\d\.\d{4}$"), F.concat(F.substring(d, 7, 4), F.substring(d, 4, 2), F.substring(d, 1, 2)))
-        .when(d.rlike(named), F.concat(part(named, 3), two(((F.position(part(named, 2), F.lit(months)) + 2) / 3).cast("int").cast("string")), two(part(named, 1))))
+        F.when((at(5, 1) == "-") & (at(8, 1) == "-"), F.concat(at(1, 4), at(6, 2), at(9, 2)))
+        .when(F.length(d) == 8, F.when(~slash, d))
+        .when(slash, F.concat(F.split_part(d, F.lit("/"), F.lit(3)), F.when(day_first, part("/", 2)).otherwise(part("/", 1)), F.when(day_first, part("/", 1)).otherwise(part("/", 2))))
+        .when((at(3, 1) == ".") & (at(6, 1) == "."), F.concat(at(7, 4), at(4, 2), at(1, 2)))
+        .when(d.contains(" "), F.concat(F.split_part(d, F.lit(" "), F.lit(3)), month, part(" ", 1)))
     )
-    address = fold(F.col("address"))
+    has_comma = F.col("line").contains(",")
     house = r"^\W*(\d+)\s*([a-z]+)"
-    number, street = F.regexp_extract(address, house, 1), F.regexp_extract(address, house, 2)
-    tail = F.regexp_extract(address, r",.*?(\d{5})(?:-\d{4})?\s*$", 1)
-    zip_ = F.coalesce(F.nullif(F.regexp_extract("zip", r"^(\d{5})(?:\D|$)", 1), F.lit("")), F.nullif(tail, F.lit("")))
-    city = F.coalesce(F.col("city"), F.nullif(F.regexp_extract(address, r"^[^,]*,\s*([^,0-9]{3,}?)\s*(?:,|$)", 1), F.lit("")))
-    return r.select(
-        *keep, *([] if "source" in keep else ["source"]), n1.alias("n1"), n2.alias("n2"), F.when(F.col("email").contains("@"), F.col("email")).alias("email"), phone.alias("phone"), F.when(dob != "19000101", dob).alias("dob"),
-        F.when((number != "") & (street != ""), F.concat_ws(" ", number, F.substring(street, 1, 6))).alias("addr"), F.when(~zip_.isin("00000", "99999"), zip_).alias("zip"), fold(city).alias("city"),
+    number, street = F.regexp_extract("line", house, 1), F.regexp_extract("line", house, 2)
+    tail = F.when(has_comma, F.regexp_extract(F.right(F.col("line"), F.lit(10)), r"(?:^|\D)(\d{5})(?:-\d{4})?$", 1))
+    zip_ = F.when(F.col("zip").isNotNull(), F.regexp_extract("zip", r"^(\d{5})(?:\D|$)", 1)).otherwise(tail)
+    second = F.trim(F.split_part("line", F.lit(","), F.lit(2)))
+    city = F.when(F.col("city").isNotNull(), _fold(F.col("city"))).when(has_comma & (F.length(second) > 2) & ~second.rlike("[0-9]"), second)
+    r = r.select(*keep, *([] if "source" in keep else ["source"]), n1.alias("n1"), n2.alias("n2"), F.when(F.col("email").contains("@"), F.col("email")).alias("email"), phone.alias("phone"), dob.alias("dob"), number.alias("number"), street.alias("street"), zip_.alias("zip"), city.alias("city"))
+    r = r.select(
+        *keep, *([] if "source" in keep else ["source"]), "n1", "n2", "email", "phone",
+        F.when((F.length("dob") == 8) & (F.col("dob") != "19000101") & F.col("dob").try_cast("int").isNotNull(), F.col("dob")).alias("dob"),
+        F.when((F.col("number") != "") & (F.col("street") != ""), F.concat_ws(" ", "number", F.substring("street", 1, 6))).alias("addr"),
+        F.when(~F.col("zip").isin("", "00000", "99999"), F.col("zip")).alias("zip"), "city",
     )
+    return cut(r)
 
 
 def whole_name() -> Column:
