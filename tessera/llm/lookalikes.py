@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tessera.session import cut
+
 #: Letters of other scripts that are drawn like a Latin letter (fixed values).
 LOOKALIKES = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "ѕ": "s", "і": "i", "ј": "j", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w",
@@ -60,6 +62,8 @@ class _Map(dict):
 
 
 _VISIBLE_MAP = _Map()
+_LETTERS = str.maketrans(LOOKALIKES)
+_MAYBE_PICTURE = regex.compile("[\u00a9\u00ae\u203c-\u3299\U0001f000-\U0001faff]")
 
 
 def visible_form(text: str) -> str:
@@ -74,12 +78,12 @@ def visible_form(text: str) -> str:
             return "\x00"
 
         t = t.replace("\x00", "")
-        t = _PICTURE.sub(hold, t)
+        if _MAYBE_PICTURE.search(t):
+            t = _PICTURE.sub(hold, t)
         t = _IGNORABLE.sub("", t)
         # removal may bring a letter and its accent together
         t = unicodedata.normalize("NFC", t)
-        t = "".join(LOOKALIKES.get(c[0], c[0]) + c[1:] if len(c) > 1 else c for c in _clusters(unicodedata.normalize("NFD", t.translate(_VISIBLE_MAP))))
-        t = unicodedata.normalize("NFC", t)
+        t = unicodedata.normalize("NFC", unicodedata.normalize("NFD", t.translate(_VISIBLE_MAP)).translate(_LETTERS))
         if kept:
             it = iter(kept)
             t = regex.sub("\x00", lambda _: next(it), t)
@@ -88,20 +92,15 @@ def visible_form(text: str) -> str:
     return _EDGE.sub("", t).strip(" \n")
 
 
-_CLUSTER = regex.compile(r"\P{M}\p{M}*|\p{M}+")
-
-
-def _clusters(t: str):
-    return _CLUSTER.findall(t)
-
-
 def common_form(text: str) -> str:
     """The form for comparisons: NFKC, full case folding, plain spaces, nothing ignorable, one letter for look-alikes."""
-    t = unicodedata.normalize("NFKC", _IGNORABLE.sub("", _BREAK.sub("\n", text)))
-    t = _SPACE.sub(" ", t)
-    t = "".join(LOOKALIKES.get(c[0], c[0]) + c[1:] for c in _clusters(unicodedata.normalize("NFD", t)))
-    t = unicodedata.normalize("NFC", unicodedata.normalize("NFC", t).casefold())
-    t = "".join(LOOKALIKES.get(c, c) for c in t)
+    t = _BREAK.sub("\n", text)
+    if t.isascii():
+        t = t.replace("\t", " ").casefold()
+    else:
+        t = _SPACE.sub(" ", unicodedata.normalize("NFKC", _IGNORABLE.sub("", t)))
+        t = unicodedata.normalize("NFC", unicodedata.normalize("NFD", t).translate(_LETTERS)).casefold()
+        t = unicodedata.normalize("NFC", unicodedata.normalize("NFD", t).translate(_LETTERS))
     return _EDGE.sub("", t).strip(" \n")
 
 
@@ -133,7 +132,7 @@ def look_keys(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFr
 def same_look(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_key, class_key of every document whose text looks like a
     different text of another document. Classes whose texts are all one string drop out."""
-    k = look_keys(docs, id, text).where("common_key is not null").dropDuplicates(["doc_id"])
+    k = cut(look_keys(docs, id, text).where("common_key is not null").dropDuplicates(["doc_id"]))
     many = k.groupBy("common_key", "visible_key").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b")).where("a <> b").select("common_key", "visible_key")
     return k.join(many, ["common_key", "visible_key"]).select("doc_id", "text_key", F.sha2(F.concat("common_key", "visible_key"), 256).alias("class_key"))
 
@@ -149,4 +148,4 @@ def look_pairs(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
 @F.pandas_udf(StringType())
 def common_form_of(s: pd.Series) -> pd.Series:
     u = {t: common_form(t) for t in s.dropna().unique()}
-    return s.map(u)
+    return pd.Series([u.get(t) for t in s], dtype=object)
