@@ -16,15 +16,19 @@ def shingles(c: Column, k: int = 5, mode: str = "word") -> Column:
     if mode == "char":
         s = F.lower(c)
         return F.array_distinct(F.when(F.length(s) < k, F.filter(F.array(s), lambda x: x != "")).otherwise(F.transform(F.sequence(F.lit(1), F.length(s) - k + 1), lambda i: s.substr(i, F.lit(k)))))
-    w = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-    n = F.size(w)
-    return F.array_distinct(F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(F.array_join(w, " "))).otherwise(F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))))
+
+    def of(w):
+        n = F.size(w)
+        return F.array_distinct(F.when(n == 0, F.array().cast("array<string>")).when(n < k, F.array(F.array_join(w, " "))).otherwise(F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(w, i, k), " "))))
+
+    return F.transform(F.array(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")), of)[0]
 
 
 def minhash(sh: Column, num_perms: int = 64) -> Column:
     """array<bigint> of the least hash per permutation; null for an empty set."""
-    h = F.transform(sh, lambda x: F.xxhash64(x))
-    return F.when(F.size(sh) > 0, F.array(*[F.array_min(F.transform(h, lambda x, i=i: F.xxhash64(x, F.lit(i)))) for i in range(num_perms)]))
+    # the one-element array binds the hashes to a name: they are computed once, not once a permutation
+    sig = F.transform(F.array(F.transform(sh, lambda x: F.xxhash64(x))), lambda h: F.when(F.size(h) > 0, F.transform(F.sequence(F.lit(0), F.lit(num_perms - 1)), lambda i: F.array_min(F.transform(h, lambda x: F.xxhash64(x, i))))))
+    return sig[0]
 
 
 def bands(signature: Column, num_bands: int, num_perms: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+#: The JVM does not compile methods of more bytecode, so a wide projection is
+#: faster as several methods than as one generated loop.
+JIT_LIMIT = "8000"
+
+
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]):
+    """Session settings for the time of a block."""
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. ``spark.checkpoint.dir`` names it on a
     cluster; only where that is unset (tests, local mode) a local folder is made."""
@@ -37,7 +56,8 @@ def cut(df: DataFrame, *done: DataFrame) -> DataFrame:
     Tables in ``done`` (made by an earlier cut) are no longer needed and deleted."""
     spark = df.sparkSession
     path = new_path(spark, "cut")
-    df.write.parquet(path)
+    with settings(spark, {"spark.sql.codegen.hugeMethodLimit": JIT_LIMIT}):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["_cut_path"] = path
     for d in done:
