@@ -121,6 +121,8 @@ def _token(x: str, y: str, miss: float) -> str:
     return f"""case when {x} is null or {y} is null then 0D when {a} = {b} then 4D
       when length({a}) = 1 or length({b}) = 1 then case when left({a},1) = left({b},1) then 1D else {miss}D end
       when startswith({a},{b}) or startswith({b},{a}) then 2.5D
+      when least(length({a}),length({b})) between 3 and 5 and left({a},1) = left({b},1) and abs(length({a}) - length({b})) >= 2
+        and levenshtein(left({a},least(length({a}),length({b}))),left({b},least(length({a}),length({b}))),1) = 1 then 2D
       when contains({a},'-') and array_contains(split({a},'-'),{b}) or contains({b},'-') and array_contains(split({b},'-'),{a}) then 3D
       when least(length({a}),length({b})) >= 4 and levenshtein({a},{b},2) between 0 and if(least(length({a}),length({b})) >= 6, 2, 1) then 3D
       when length({a}) = length({b}) and length({a}) >= 4 and array_sort(split({a},'')) = array_sort(split({b},'')) and levenshtein({a},{b},2) between 0 and 2 then 3D
@@ -135,20 +137,22 @@ _SLIP = (
 )
 
 
-def base_score() -> Column:
-    """Agreement of names and birth dates of a pair with columns a_n1, a_n2, a_dob,
-    b_n1, b_n2, b_dob. Different first names are different people (relatives share
-    all else) unless the birth date is the same."""
-    straight = f"({_token('a_n1', 'b_n1', -9)} + {_token('a_n2', 'b_n2', -2)})"
-    crossed = f"(case when a_n1 = b_n2 or a_n2 = b_n1 then {_token('a_n1', 'b_n2', -9)} + {_token('a_n2', 'b_n1', -9)} - 0.5D else -30D end)"
-    dob = f"case when a_dob is null or b_dob is null then 0D when a_dob = b_dob then 7D when coalesce({_SLIP}, false) then 3D else -9D end"
-    names = f"greatest({straight},{crossed})"
-    return F.expr(f"{names} + {dob} - case when {names} <= -5 and not coalesce(a_dob = b_dob, false) then 30D else 0D end")
+_NAMES = f"greatest({_token('a_n1', 'b_n1', -9)} + {_token('a_n2', 'b_n2', -2)}, case when a_n1 = b_n2 or a_n2 = b_n1 then {_token('a_n1', 'b_n2', -9)} + {_token('a_n2', 'b_n1', -9)} - 0.5D else -30D end)"
+_DATES = f"case when a_dob is null or b_dob is null then 0D when a_dob = b_dob then 7D when coalesce({_SLIP}, false) then 3D else -9D end"
 
 
-def dates_clash() -> Column:
-    """The pair's birth dates are known and neither equal nor one slip apart."""
-    return F.expr(f"coalesce(a_dob <> b_dob and not coalesce({_SLIP}, false), false)")
+def scored_edges(pairs: DataFrame) -> DataFrame:
+    """a, b, mask, base, clash, a_open, b_open of pairs with columns a_n1, a_n2,
+    a_dob, b_n1, b_n2, b_dob.
+
+    base: agreement of names and birth dates; people of different first names are
+    different (relatives and twins share all else). clash: what keeps two profiles
+    apart whatever their neighbours share - birth dates more than a slip apart, or
+    different first names under one last name and birth date."""
+    e = pairs.select("*", F.expr(_NAMES).alias("names"), F.expr(_DATES).alias("dates"))
+    other = F.col("names") <= -5
+    clash = ~other & (F.col("dates") < 0) | other & (F.col("dates") == 7) & F.expr("coalesce(a_n2 = b_n2, false)")
+    return e.select("a", "b", "mask", (F.col("names") + F.col("dates") - F.when(other, 30.0).otherwise(0.0)).alias("base"), clash.alias("clash"), F.col("a_dob").isNull().alias("a_open"), F.col("b_dob").isNull().alias("b_open"))
 
 
 def shared_score(mask: Column) -> Column:

@@ -124,7 +124,7 @@ def fuse(claims: DataFrame, rounds: int = 4, copying: float = 0.8, prior: float
     names = sorted(r.source for r in votes.select("source").distinct().collect())  # the feeds
     acc, dep, values = dict.fromkeys(names, 0.8), {}, None
     for _ in range(rounds):
-        w = F.create_map(*[F.lit(x) for s in names for x in (s, math.log(n_false * acc[s] / (1 - acc[s])))]) if names else F.create_map()
+        w = F.create_map(*[F.lit(x) for s in names for x in (s, math.log(n_false * acc[s] / (1 - acc[s])))]) if names else F.create_map(F.lit(""), F.lit(0.0))
         order = F.array_sort(F.collect_list(F.struct((-w[F.col("source")]).alias("o"), "source", "n")))
         g = votes.groupBy("cluster_id", "field", "value").agg(order.alias("by"), F.max("seen").alias("seen"), F.max_by("shown", F.struct("seen", "shown")).alias("shown"))
         if dep:
