@@ -86,7 +86,7 @@ def broken_references(refs: DataFrame, parents: DataFrame, per_range: int = 200_
     # equal ranges of the 64-bit key space, ascending
     rng = F.least(F.lit(n - 1), F.floor((F.col("h").cast("double") / 2.0**63 + 1) / 2 * n)).cast("int")
     refs = refs.withColumn("r", rng)
-    salts = refs.groupBy("r").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(per_range // 4))).cast("int").alias("salts"))
+    salts = refs.groupBy("r").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(max(1, per_range // 4)))).cast("int").alias("salts"))
     r = refs.join(salts, "r").withColumn("s", F.pmod(F.xxhash64("table_name", "row_key"), F.col("salts")).cast("int"))
     p = parents.withColumn("r", rng).join(salts, "r").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     r = r.select("r", "s", "table_name", "row_key", "k", "h", "ref_time")
