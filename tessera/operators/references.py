@@ -48,7 +48,7 @@ def references(df: DataFrame, table_name: str, key: str, row_key: str, time: str
 def probe(refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
     """Binary search of a batch of references in the sorted parents of its range."""
     if not len(refs):
-        return pd.DataFrame({"table_name": [], "row_key": [], "state": [], "ref_time": []})
+        return pd.DataFrame({"table_name": pd.Series(dtype=object), "row_key": pd.Series(dtype=object), "state": pd.Series(dtype=object), "ref_time": pd.Series(dtype="datetime64[us]")})
     p = parents.sort_values("h", kind="stable", ignore_index=True)
     ph, rh = p.h.to_numpy(np.int64), refs.h.to_numpy(np.int64)
     lo, hi = np.searchsorted(ph, rh, "left"), np.searchsorted(ph, rh, "right")
