@@ -73,4 +73,10 @@ l0 as (select a.row_id u, b.row_id v from evidence_edges e join r a on e.record_
 l as (select u, v from l0 where u <> v union select v, u from l0 where u <> v),
 reach(x, y) as (select u, u from l union select reach.x, l.v from reach join l on reach.y = l.u)
 select x row_id, min(y) group_row_id from reach group by x""",
+    "p7_found": """with g as (select cluster_id, arg_max(source_ids, (merged_at, id)) ids from gm_golden_records where merged_at is not null group by 1),
+m as (select distinct cluster_id, unnest(ids) row_id from g),
+r as (select distinct row_id, last_seen_at, payload from source_records where row_id in (select row_id from m)),
+f as (select row_id, any_value(last_seen_at) seen, coalesce((select count(*) from json_tree(case when json_valid(payload) then payload end) t where t.type not in ('OBJECT', 'ARRAY', 'NULL')
+  and lower(trim(regexp_replace(t.atom::json->>'$', '\\s+', ' ', 'g'))) not in (""" + ", ".join(f"'{v}'" for v in sorted(survivors.STAND_INS)) + """)), 0) filled from r group by row_id, payload)
+select cluster_id, arg_max(row_id, (filled, seen, -row_id)) row_id from m join f using (row_id) group by 1""",
 }
