@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scorers, sketches
 from tessera.functions import transforms as T
-from tessera.operators import blocking, clusters, frames, matching, quality, relations, stats, survivorship
+from tessera.operators import baseline, blocking, clusters, frames, identity, matching, quality, relations, stats, survivorship
 from tessera.session import table
 from tessera.streaming import matcher
 
@@ -201,10 +201,10 @@ def drift_halves(spark, d):
     return quality.drift(li, "l_extendedprice", "o").select(F.round("first_mean", 4).alias("first_mean"), F.round("second_mean", 4).alias("second_mean"))
 
 
-@query("select distinct lang from documents where doc_id > 500 and lang is not null except select lang from documents where doc_id <= 500")
+@query("select distinct lang from documents where source is distinct from 'steward_notes' and lang is not null except select lang from documents where source = 'steward_notes'")
 def new_categories(spark, d):
     x = table(spark, d, "documents")
-    return quality.new_categories(x.where("doc_id <= 500"), x.where("doc_id > 500"), "lang")
+    return quality.new_categories(x.where("source = 'steward_notes'"), x.where("source is null or source <> 'steward_notes'"), "lang")
 
 
 @query("""with v as (select distinct trim(lang) v from documents where trim(lang) <> '') select a.v value_a, b.v value_b, round(1 - levenshtein(lower(a.v), lower(b.v)) / greatest(length(a.v), length(b.v)), 6) similarity from v a join v b on a.v < b.v
@@ -447,11 +447,11 @@ def compare_clusterings(spark, d):
 
 @query()
 def fellegi_sunter(spark, d):
-    """Documents of one language and source, compared by length band, entity and opening words."""
-    x = table(spark, d, "documents").where("text is not null").withColumns({"head": F.substring("text", 1, 40), "sig": F.regexp_replace(F.lower("text"), "[^0-9a-z]+", "")})
+    """Documents of one entity, source and language, compared by their words, language and length."""
+    x = table(spark, d, "documents").where("text is not null").withColumn("n_chars", F.col("n_chars").cast("string"))
     pairs = blocking.static(x, "doc_id", [("entity_id", ["strip"]), ("source", []), ("lang", [])])
-    fields = [("head", "levenshtein", [0.9, 0.5]), ("lang", "exact", [1.0]), ("n_chars", "numeric_diff:pct:0.5", [0.9])]
-    lv = matching.levels(matching.attach(pairs, x.withColumn("n_chars", F.col("n_chars").cast("string")), x.withColumn("n_chars", F.col("n_chars").cast("string")), "doc_id", ["head", "lang", "n_chars"]), fields)
+    fields = [("text", "dice", [0.9, 0.5]), ("lang", "exact", [1.0]), ("n_chars", "numeric_diff:pct:0.5", [0.9])]
+    lv = matching.levels(matching.attach(pairs, x, x, "doc_id", ["text", "lang", "n_chars"]), fields)
     model = matching.train(lv, [3, 2, 2])
     return lv.select("a", "b", model.score(3).alias("score")).where("score >= 0.5")
 
@@ -543,3 +543,72 @@ def minhash_similarity(spark, d):
     y = x.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     j = p.join(y.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(y.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
     return j.select("a", "b", F.round(sketches.estimate_jaccard(F.col("sa"), F.col("sb")), 4).alias("jaccard"))
+
+
+# ---- further operators --------------------------------------------------
+@query("select round(count(*) filter (where l_discount > 0.05 and l_tax > l_discount) / count(*)::double, 6) violation from lineitem")
+def denial_validation(spark, d):
+    x = baseline.validate(table(spark, d, "lineitem"), (F.col("l_discount") > 0.05) & (F.col("l_tax") > F.col("l_discount")))
+    return x.withColumn("violation", F.round("violation", 6))
+
+
+@query()
+def denial_constraints(spark, d):
+    return baseline.denial_constraints(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]).withColumn("violation", F.round("violation", 6))
+
+
+@query("""select 'o_totalprice' "column", unnest(['mean', 'min', 'max']) metric, unnest([round(avg(o_totalprice), 4), min(o_totalprice), max(o_totalprice)]) "value" from orders""")
+def baseline_metrics(spark, d):
+    b = baseline.create(table(spark, d, "orders"))
+    return b.where("column = 'o_totalprice' and metric in ('mean', 'min', 'max')").withColumn("value", F.round("value", 4))
+
+
+@query("""with e as (select distinct row_id, json_extract_string(payload, '$.phone') p from source_records where source = 'crm_contacts' and json_valid(payload))
+select row_id, regexp_replace(p, '[^0-9]', '', 'g') digits, case when length(regexp_replace(p, '[^0-9]', '', 'g')) = 10 then '+1' || regexp_replace(p, '[^0-9]', '', 'g') when length(regexp_replace(p, '[^0-9]', '', 'g')) = 11 and regexp_replace(p, '[^0-9]', '', 'g') like '1%' then '+' || regexp_replace(p, '[^0-9]', '', 'g') else p end e164 from e""")
+def transform_phone(spark, d):
+    r = table(spark, d, "source_records").where("source = 'crm_contacts'").where(F.try_parse_json("payload").isNotNull()).select("row_id", F.get_json_object("payload", "$.phone").alias("p")).distinct()
+    return r.select("row_id", T.phone_digits(F.col("p")).alias("digits"), T.phone_e164(F.col("p")).alias("e164"))
+
+
+@query("""with e as (select distinct row_id, json_extract_string(payload, '$.address') a, json_extract_string(payload, '$.zip') z from source_records where source = 'crm_contacts' and json_valid(payload))
+select row_id, case when regexp_matches(trim(z), '^[0-9]{3,5}(-?[0-9]{4})?$') then lpad(regexp_extract(trim(z), '^([0-9]{3,5})(-?[0-9]{4})?$', 1), 5, '0') else z end zip, case when lower(trim(a)) in ('n/a', 'null', 'none', 'na', 'nil', 'nan', '-', '') then null else a end address from e""")
+def transform_address(spark, d):
+    r = table(spark, d, "source_records").where("source = 'crm_contacts'").where(F.try_parse_json("payload").isNotNull()).select("row_id", F.get_json_object("payload", "$.address").alias("a"), F.get_json_object("payload", "$.zip").alias("z")).distinct()
+    return r.select("row_id", T.zip_normalize(F.col("z")).alias("zip"), T.null_standardize(F.col("a")).alias("address"))
+
+
+@query("select o_orderkey, lower(trim(o_orderpriority)) s, trim(regexp_replace(o_orderpriority, '\\s+', ' ', 'g')) w, regexp_replace(lower(o_orderpriority), '[^0-9a-z]', '', 'g') k from orders")
+def sql_functions(spark, d):
+    from tessera.plans import sql
+
+    sql.register(spark)
+    table(spark, d, "orders").createOrReplaceTempView("tessera_orders")
+    return spark.sql("select o_orderkey, lower(tessera_strip(o_orderpriority)) s, tessera_whitespace(o_orderpriority) w, tessera_near_signature(o_orderpriority) k from tessera_orders")
+
+
+@query()
+def audit_seals(spark, d):
+    return identity.seal(table(spark, d, "evidence_edges").distinct(), "edge_id", 1000)
+
+
+@query()
+def identity_events(spark, d):
+    e = _edges(spark, d).select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"), "score")
+    return identity.events(clusters.components(e.where("score >= 0.8")), clusters.components(e.where("score >= 0.5")))
+
+
+@query()
+def collective_scores(spark, d):
+    return identity.collective(_edges(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query("""select o_custkey, min(o_orderkey) filter (where o_orderpriority is not null) o_orderkey, arg_min(o_orderpriority, (case o_orderstatus when 'F' then 1 when 'O' then 2 else 3 end, o_orderkey)) o_orderpriority from orders group by 1""")
+def golden_source_priority(spark, d):
+    g = survivorship.golden(table(spark, d, "orders").withColumn("k", F.col("o_orderkey")), "o_custkey", "k", {"o_orderkey": "first_non_null", "o_orderpriority": ("source_priority", {"source": "o_orderstatus", "priority": ["F", "O"]})})
+    return g.select("o_custkey", "o_orderkey", "o_orderpriority")
+
+
+@query("""with p as (select p_partkey, p_brand, p_size, row_number() over (partition by p_brand order by p_retailprice desc, p_partkey) r from part) select p_brand, p_partkey, r from p where r <= 3""")
+def top_k_per_group(spark, d):
+    w = Window.partitionBy("p_brand").orderBy(F.desc("p_retailprice"), "p_partkey")
+    return table(spark, d, "part").withColumn("r", F.row_number().over(w)).where("r <= 3").select("p_brand", "p_partkey", "r")
