@@ -75,18 +75,19 @@ def probe(refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
     return out[out.state != ""]
 
 
-def broken_references(refs: DataFrame, parents: DataFrame, per_range: int = 200_000) -> DataFrame:
+def broken_references(refs: DataFrame, parents: DataFrame, per_range: int = 25_000, per_batch: int | None = None) -> DataFrame:
     """References whose parent is ``missing``, ``deleted`` or ``late``.
 
     refs: table_name, row_key, k, h, ref_time (see :func:`references`); parents
-    as from :func:`parent_index`. ``per_range`` bounds both the parents of a
-    range and the references of a batch. A parent without a birth time, or a
+    as from :func:`parent_index`. ``per_range`` is about the number of parents of a
+    range, ``per_batch`` (twice that) of references probed at once: the parents of
+    a range are sent to every batch of it, so small ranges are sent less often. A parent without a birth time, or a
     reference without a time, is never late. Empty tables give no rows."""
     n = max(1, math.ceil(max(parents.count(), 1) / per_range))
     # equal ranges of the 64-bit key space, ascending
     rng = F.least(F.lit(n - 1), F.floor((F.col("h").cast("double") / 2.0**63 + 1) / 2 * n)).cast("int")
     refs = refs.withColumn("r", rng)
-    salts = refs.groupBy("r").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(max(1, per_range // 4)))).cast("int").alias("salts"))
+    salts = refs.groupBy("r").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(per_batch or 2 * per_range))).cast("int").alias("salts"))
     r = refs.join(salts, "r").withColumn("s", F.pmod(F.xxhash64("table_name", "row_key"), F.col("salts")).cast("int"))
     p = parents.withColumn("r", rng).join(salts, "r").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     r = r.select("r", "s", "table_name", "row_key", "k", "h", "ref_time")
