@@ -3,6 +3,8 @@ affected_rows, confidence. Column checks share one aggregate over the table."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, NumericType, StringType, TimestampType
@@ -19,11 +21,13 @@ def _id_like(name: str) -> bool:
 
 
 def measures(df: DataFrame) -> dict[str, dict]:
-    """The counts all column checks need: one job, one row back."""
+    """The counts all column checks need, one row back. Distinct values are first
+    estimated; exact counts follow only where a check depends on them: few values
+    (as a set, bounded by the estimate) or nearly unique ones (one branch a column)."""
     aggs, n = [F.count("*").alias("n")], df.schema
     for i, f in enumerate(n):
         c = F.col(f"`{f.name}`")
-        aggs += [F.count_if(c.isNull()).alias(f"null_{i}"), F.count_distinct(c).alias(f"distinct_{i}")]
+        aggs += [F.count_if(c.isNull()).alias(f"null_{i}"), F.approx_count_distinct(c, 0.02).alias(f"distinct_{i}")]
         if isinstance(f.dataType, StringType):
             aggs += [F.count_if(c.try_cast("double").isNotNull()).alias(f"numeric_{i}"), F.count_if(c.try_cast("bigint").isNotNull()).alias(f"integer_{i}")]
             aggs += [F.count_if(c.rlike(p)).alias(f"{k}_{i}") for k, p in FORMATS.items()]
@@ -37,6 +41,16 @@ def measures(df: DataFrame) -> dict[str, dict]:
     out = {}
     for i, f in enumerate(n):
         out[f.name] = {k[: -len(str(i)) - 1]: row[k] for k in row.asDict() if k.endswith(f"_{i}") and k.rsplit("_", 1)[1] == str(i)} | {"n": row["n"], "type": f.dataType}
+    few = [c for c, v in out.items() if v["distinct"] <= 50]
+    many = [c for c, v in out.items() if c not in few and v["distinct"] >= 0.9 * (v["n"] - v["null"])]
+    if few:
+        row = df.agg(*[F.size(F.collect_set(F.col(f"`{c}`"))).alias(str(i)) for i, c in enumerate(few)]).first()
+        for i, c in enumerate(few):
+            out[c]["distinct"] = row[i]
+    exact = [df.agg(F.lit(c).alias("c"), F.count_distinct(F.col(f"`{c}`")).alias("k")) for c in many]
+    if exact:
+        for r in reduce(DataFrame.unionByName, exact).collect():
+            out[r.c]["distinct"] = r.k
     return out
 
 
