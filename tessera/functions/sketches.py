@@ -49,6 +49,14 @@ def optimal_bands(num_perms: int, threshold: float, steps: int = 1000) -> tuple[
     return best[1], num_perms // best[1]
 
 
+def recall_bands(num_perms: int, threshold: float, recall: float = 0.99) -> tuple[int, int]:
+    """(bands, rows): the fewest bands under which a pair at the threshold meets with the given probability."""
+    for b in (b for b in range(1, num_perms + 1) if num_perms % b == 0):
+        if 1 - (1 - threshold ** (num_perms // b)) ** b >= recall:
+            return b, num_perms // b
+    return num_perms, 1
+
+
 def estimate_jaccard(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, v: s + v) / F.size(a)
 

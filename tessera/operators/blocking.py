@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import sketches
 from tessera.functions.transforms import apply
+from tessera.session import cut
 
 ID = "__row_id__"
 
@@ -97,11 +98,44 @@ def token(df: DataFrame, id: str, column: str, **kw) -> DataFrame:
     return pairs_of(token_keys(df, id, column, **kw))
 
 
+def _similar_texts(df: DataFrame, id: str, column: str, k: int, num_perms: int, threshold: float, mode: str) -> tuple[DataFrame, DataFrame]:
+    """(copies, pairs): every id with the least id of its text as ``rep``, and the pairs a < b of
+    such ids whose shingle sets have a Jaccard similarity of at least the threshold.
+
+    Bands are chosen for recall at the threshold; what they bring together is then compared exactly."""
+    words = F.array_join(F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ")
+    x = df.select(F.col(id).alias("id"), (F.lower(column) if mode == "char" else words).alias("t")).where("t <> ''").withColumn("s", F.sha2("t", 256))
+    one = x.groupBy("s").agg(F.min("id").alias("rep"), F.first("t").alias("t"))
+    sh = sketches.shingles(F.col("t"), k, mode)
+    b, _ = sketches.recall_bands(num_perms, threshold)
+    one = cut(one.select("s", "rep", "t", F.size(sh).alias("n"), sketches.bands(sketches.minhash(sh, num_perms), b, num_perms).alias("keys")))
+    copies = x.select("id", "s").join(one.select("s", "rep"), "s").select("id", "rep")
+    keys = one.select("rep", "n", F.posexplode("keys").alias("i", "k"))
+    p, q = (keys.select(F.col("rep").alias(y), F.col("n").alias(f"n{y}"), "i", "k") for y in "ab")
+    # no pair is more similar than its sizes
+    near = p.join(q, ["i", "k"]).where(F.col("a") < F.col("b")).where(F.least("na", "nb") / F.greatest("na", "nb") >= threshold).select("a", "b").distinct()
+    p, q = (one.select(F.col("rep").alias(y), F.col("t").alias(f"t{y}")) for y in "ab")
+    sa, sb = sketches.shingles(F.col("ta"), k, mode), sketches.shingles(F.col("tb"), k, mode)
+    # the one-element array binds the two sets to a name
+    jaccard = F.transform(F.array(F.struct(sa.alias("x"), sb.alias("y"))), lambda v: F.size(F.array_intersect(v.x, v.y)) / F.size(F.array_union(v.x, v.y)))[0]
+    return copies, near.join(p, "a").join(q, "b").where(jaccard >= threshold).select("a", "b")
+
+
 def minhash(df: DataFrame, id: str, column: str, k: int = 5, num_perms: int = 64, threshold: float = 0.8, mode: str = "word") -> DataFrame:
-    """Pairs that share a band of their MinHash signature; texts without a shingle do not block."""
-    b, _ = sketches.optimal_bands(num_perms, threshold)
-    sig = df.select(F.col(id).alias("id"), sketches.minhash(sketches.shingles(F.col(column), k, mode), num_perms).alias("sig")).where("sig is not null")
-    return pairs_of(sig.select("id", F.explode(sketches.bands(F.col("sig"), b, num_perms)).alias("k")))
+    """Pairs whose shingle sets have a Jaccard similarity of at least the threshold; texts
+    without a shingle do not block. Copies of one text give all their pairs: :func:`minhash_links` stays linear."""
+    copies, pairs = _similar_texts(df, id, column, k, num_perms, threshold, mode)
+    copies = cut(copies)
+    c, e = copies.select(F.col("id").alias("y"), F.col("rep").alias("b")), copies.select(F.col("id").alias("x"), F.col("rep").alias("a"))
+    across = pairs.join(e, "a").join(c, "b").select("x", "y")
+    within = e.join(c, F.col("a") == F.col("b")).where("x < y").select("x", "y")
+    return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def minhash_links(df: DataFrame, id: str, column: str, k: int = 5, num_perms: int = 64, threshold: float = 0.8, mode: str = "word") -> DataFrame:
+    """Pairs with the components of :func:`minhash`: copies of one text are joined to its least id only."""
+    copies, pairs = _similar_texts(df, id, column, k, num_perms, threshold, mode)
+    return pairs.unionByName(copies.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
 
 
 def simhash(df: DataFrame, id: str, column: str, dim: int, planes: int = 32, bands: int = 8) -> DataFrame:

@@ -293,8 +293,8 @@ def block_stats(spark, d):
 
 @query()
 def block_minhash(spark, d):
-    """Candidate classes of documents: one row per document with its group."""
-    p = blocking.minhash(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
+    """Classes of near-duplicate documents (Jaccard 0.8): one row per document with its group."""
+    p = blocking.minhash_links(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
     return clusters.components(p)
 
 
@@ -538,7 +538,7 @@ def identity_crosswalk(spark, d):
 def minhash_similarity(spark, d):
     """Mean signature agreement of candidate pairs (an estimate of their Jaccard similarity)."""
     x = table(spark, d, "documents").where("text is not null").select("doc_id", sketches.minhash(sketches.shingles(F.col("text")), 64).alias("sig")).where("sig is not null")
-    p = blocking.pairs_of(x.select(F.col("doc_id").alias("id"), F.explode(sketches.bands(F.col("sig"), 8, 64)).alias("k")))
+    p = blocking.pairs_of(x.select(F.col("doc_id").alias("id"), F.explode(sketches.bands(F.col("sig"), sketches.recall_bands(64, 0.8)[0], 64)).alias("k")))
     # copies share all bands: one representative of each signature is compared
     y = x.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     j = p.join(y.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(y.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")

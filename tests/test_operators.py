@@ -33,6 +33,23 @@ def test_optimal_bands_and_minhash(spark):
     assert {(r.a, r.b) for r in blocking.minhash(df, "id", "t").collect()} == {(1, 2)}
 
 
+def test_minhash_recall_against_brute_force(spark):
+    rng, rows = random.Random(7), []
+    for g in range(60):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(84)]
+        at = rng.randrange(10, 70)
+        near = words[:at] + ["changed"] + words[at + 1 :]  # 75 of 85 shingles, 0.88
+        far = near[: at // 2] + ["other"] + near[at // 2 + 1 :] + ["tail"] * 3
+        rows += [(4 * g, " ".join(words)), (4 * g + 1, " ".join(near)), (4 * g + 2, " ".join(far)), (4 * g + 3, " ".join(words).upper())]
+    sets = {i: {tuple(t.lower().split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = [(r.a, r.b) for r in blocking.minhash(df, "id", "t").collect()]
+    assert len(got) == len(set(got)) and set(got) <= want and len(set(got)) >= 0.99 * len(want)
+    groups = lambda p: {(r.member, r.cluster_id) for r in clusters.components(p).collect()}
+    assert groups(blocking.minhash_links(df, "id", "t")) == groups(blocking.minhash(df, "id", "t"))
+
+
 def test_blocking(spark):
     df = spark.createDataFrame([(1, "Ann", "x"), (2, "ann ", "y"), (3, "null", "x"), (4, None, "x"), (5, "Bob", "y")], "id long, n string, g string")
     static = {(r.a, r.b) for r in blocking.static(df, "id", [("n", ["strip", "lowercase"])]).collect()}
