@@ -10,10 +10,10 @@
    any member of another counts for both, and profiles without a birth date join
    the best cluster among their neighbours. This repeats until nothing changes.
 
-A block of at most BLOCK nodes emits its pairs. A larger block (a hot entity, a
-shared mailbox) is split by name and birth date, and each part is joined as a
-star around its first node, as the whole block is; its edges stay linear in its
-nodes and members stay linked through the centre, so nothing is dropped.
+Every block emits all its pairs. A block of more than BLOCK nodes (a hot entity, a
+shared mailbox) is salted into parts of about that size, and each two parts are
+paired as a group of their own: no group is large, and nothing is dropped. The
+pairs of a block grow with the square of its nodes.
 """
 
 from __future__ import annotations
@@ -57,16 +57,17 @@ def key_rows(profiles: DataFrame) -> DataFrame:
 def candidate_graph(rows: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges a < b with mask (what is shared) and w (its rarity)."""
     n = nodes.count()
-    size = rows.groupBy("k").agg(F.count("*").alias("c")).where("c > 1")
+    size = rows.groupBy("k").agg(F.count_distinct("node").alias("c")).where("c > 1")
     shared = rows.join(size, "k").withColumn("w", F.log(F.lit(float(max(n, 2))) / F.col("c")).cast("float"))
     small = shared.where(F.col("c") <= block).groupBy("k", "bit", "w").agg(F.collect_set("node").alias("m"))
     pairs = small.select("bit", "w", F.explode("m").alias("a"), "m").select("bit", "w", "a", F.explode("m").alias("b")).where("a < b")
-    hot = shared.where(F.col("c") > block).join(nodes, "node")
-    names = F.coalesce(P.whole_name(), F.lit(""))
-    parts = hot.select("node", "bit", "w", F.explode(F.array(F.xxhash64("k", F.lit(0)), F.xxhash64("k", F.lit(1), names), F.xxhash64("k", F.lit(2), "dob"))).alias("k"))
-    centre = parts.groupBy("k").agg(F.min("node").alias("hub"))
-    stars = parts.join(centre, "k").where("node <> hub").select("bit", "w", F.col("hub").alias("a"), F.col("node").alias("b"))
-    return pairs.unionByName(stars).groupBy("a", "b").agg(F.bit_or("bit").alias("mask"), F.sum("w").alias("w"))
+    # a node meets its own part and every other part once
+    salt = shared.where(F.col("c") > block).withColumn("n", F.ceil(F.col("c") / block)).withColumn("own", F.pmod(F.xxhash64("node"), F.col("n")))
+    salt = salt.select("k", "bit", "w", "node", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("o"))
+    met = salt.groupBy("k", "bit", "w", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j")).agg(F.collect_set(F.struct("node", "own")).alias("m"))
+    met = met.select("bit", "w", "i", "j", F.explode("m").alias("x"), "m").select("bit", "w", "i", "j", "x", F.explode("m").alias("y")).where("x.node < y.node and (i = j or x.own <> y.own)")
+    hot = met.select("bit", "w", F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return pairs.unionByName(hot).groupBy("a", "b").agg(F.bit_or("bit").alias("mask"), F.sum("w").alias("w"))
 
 
 def meta_block(edges: DataFrame) -> DataFrame:

@@ -58,6 +58,23 @@ def test_large_blocks_lose_nothing(spark):
     assert linkage.matched_pairs(df).count() == 80 * 80
 
 
+def test_strangers_in_a_shared_mailbox_hide_nobody(spark):
+    """Two spellings of one person meet although over 40 others share all their keys."""
+    code = [[i, j, (i + j) % 11, (i + 2 * j) % 11] for i in range(11) for j in range(11)][::2]
+    tail = lambda c, n: "".join("bcdfghjkmpv"[x] for x in c[:n])
+    people = [("And" + tail(c, 4), "Kel" + tail(c[::-1], 3), f"{1930 + i}-0{1 + i % 9}-1{i % 10}") for i, c in enumerate(code)]
+    people += [("Andreas", "Keller", "1999-05-25"), ("Andrees", "Kellar", None)]
+    pay = [json.dumps({"first_name": f, "last_name": n, "email": "office@x.example", "birth_date": d}) for f, n, d in people]
+    last = len(pay) - 1
+    rows = [(i, "crm_contacts", p, T[0]) for i, p in enumerate(pay)]
+    schema = "row_id long, source string, payload string, first_seen_at timestamp"
+    assert last in {r.row_id for r in batches.turned_away(spark.createDataFrame(rows, schema)).collect()}
+    f, n, d = people[-1]
+    rows[-1] = (last, "partner_feed", json.dumps({"FNAME": f, "LNAME": n, "EMAIL1": "office@x.example", "DOB": d}), T[0])
+    got = {(r.row_id_a, r.row_id_b) for r in linkage.matched_pairs(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {(last - 1, last)}
+
+
 def test_turned_away(spark):
     df = records(spark)
     assert {r.row_id for r in batches.turned_away(df).collect()} == {8}
