@@ -298,12 +298,17 @@ def block_minhash(spark, d):
     return clusters.components(p)
 
 
+#: Planes and bands under which a pair of cosine 0.9 shares a band with probability 0.93.
+SIMHASH = (64, 8)
+
+
 @query()
 def block_simhash(spark, d):
+    """Candidates of every vector, at either end of a pair."""
     e = table(spark, d, "embeddings")
     dim = e.select(F.max(F.size("embedding"))).first()[0] or 1
-    p = blocking.simhash(e, "vec_id", "embedding", dim, 32, 4)
-    return p.groupBy("a").agg(F.count("*").alias("candidates"))
+    p = blocking.simhash(e, "vec_id", "embedding", dim, *SIMHASH)
+    return p.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("candidates"))
 
 
 # ---- scoring ------------------------------------------------------------

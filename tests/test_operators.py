@@ -50,6 +50,24 @@ def test_minhash_recall_against_brute_force(spark):
     assert groups(blocking.minhash_links(df, "id", "t")) == groups(blocking.minhash(df, "id", "t"))
 
 
+def test_simhash_recall_and_both_ends(spark, tmp_path):
+    import numpy as np
+
+    from tessera.plans import catalogue
+
+    rng, rows = np.random.default_rng(5), []
+    for i in range(300):
+        u, v = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+        rows += [(2 * i, u.tolist()), (2 * i + 1, (0.9 * u + (1 - 0.81) ** 0.5 * v).tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    x = np.array([v for _, v in rows])
+    near = {(a, b) for a, b in zip(*np.where(x @ x.T >= 0.8999)) if a < b}
+    p = {(r.a, r.b) for r in blocking.simhash(spark.read.parquet(str(tmp_path / "embeddings.parquet")), "vec_id", "embedding", 32, *catalogue.SIMHASH).collect()}
+    assert len(near & p) >= 0.9 * len(near)
+    want = {i: sum(i in e for e in p) for i in {i for e in p for i in e}}
+    assert {r.a: r.candidates for r in catalogue.block_simhash(spark, str(tmp_path)).collect()} == want
+
+
 def test_blocking(spark):
     df = spark.createDataFrame([(1, "Ann", "x"), (2, "ann ", "y"), (3, "null", "x"), (4, None, "x"), (5, "Bob", "y")], "id long, n string, g string")
     static = {(r.a, r.b) for r in blocking.static(df, "id", [("n", ["strip", "lowercase"])]).collect()}
