@@ -5,11 +5,14 @@ Method: a segment index for edit distance. The identifying strings of a record
 possible duplicates of its feed (a contact, an address, a birth date, a name). A
 string of length l with bound t is stored as t + 1 segments, each under its
 scope, l, the segment's number and content. A string within t edits of another
-must contain at least one of the other's segments, so a new string probes only
-its own substrings of those lengths around those positions (multi-match-aware
-selection). Hits are verified by bounded edit distance, then by the score of the
-two profiles; chains of duplicates end in one entity. A batch appends its own
-segments after it has been probed.
+must contain at least one of the other's segments, so a new string probes the
+index with its own substrings of the lengths l - t to l + t around those positions
+(multi-match-aware selection). Hits are verified by bounded edit distance, then by
+the score of the two profiles; chains of duplicates end in one entity. A batch
+appends its own segments after it has been probed.
+
+The index (:class:`Gate`) lives in a folder of shared storage. All its tables are
+cut into RANGES ranges of a hash, and a batch reads only the ranges it hits.
 """
 
 from __future__ import annotations
@@ -22,9 +25,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm import linkage as L
 from tessera.llm import people as P
-from tessera.session import cut, new_path
+from tessera.operators.blocking import parts_of
+from tessera.session import cut, forget, new_path
 
-ORDER = ("first_seen_at", "row_id")
+#: Ranges of the index; a table holds one folder per batch and range.
+RANGES = 64
 
 
 def scopes(profiles: DataFrame) -> DataFrame:
@@ -40,7 +45,7 @@ def scopes(profiles: DataFrame) -> DataFrame:
         (P.PHONE, [F.col("phone")], [token("n1"), token("n2"), date]),
         (P.ADDR, [F.col("addr")], [token("n1"), token("n2")]),
         (P.DOB, [F.col("dob")], [token("n1"), token("n2")]),
-        (P.ZIP, [F.col("zip"), name], [whole]),
+        (P.ZIP, [F.col("zip")], [text(0, name, 1)]),
         (P.CITY, [F.col("city"), name], [whole]),
         (P.NAMES, [name], [whole]),
     ]
@@ -58,12 +63,25 @@ def _segment(length: Column, count: int, i: int) -> tuple[Column, Column]:
     return 1 + (i - 1) * base + F.greatest(F.lit(0), (i - 1) - (count - longer)), base + F.when(F.lit(i) > count - longer, 1).otherwise(0)
 
 
-def _keys_for(bound: int) -> list[Column]:
-    """Keys under which a string of length l is found: its own segments, and the
-    substrings that may be segments of strings up to ``bound`` shorter."""
-    text, n = F.col("text"), F.length("text")
-    keys = []
-    for delta in range(bound + 1):
+def _key(bound: int, length: Column, i: int, piece: Column) -> Column:
+    return F.xxhash64("scope", "kind", F.lit(bound), length, F.lit(i), piece)
+
+
+def _piece(at: Column, size: Column) -> Column:
+    return F.col("text").substr(at.cast("int"), size.cast("int"))
+
+
+def _own(bound: int) -> Column:
+    """Keys a string is stored under: its bound + 1 segments."""
+    n = F.length("text")
+    parts = [_segment(n, bound + 1, i) for i in range(1, bound + 2)]
+    return F.array(*[_key(bound, n, i, _piece(at, size)) for i, (at, size) in enumerate(parts, 1)])
+
+
+def _probes(bound: int) -> Column:
+    """Keys of the substrings that may be segments of strings up to ``bound`` shorter or longer."""
+    n, keys = F.length("text"), []
+    for delta in range(-bound, bound + 1):  # the stored string is delta shorter
         length = n - delta
         for i in range(1, bound + 2):
             start, size = _segment(length, bound + 1, i)
@@ -71,18 +89,23 @@ def _keys_for(bound: int) -> list[Column]:
             for off in range(lo, hi + 1):
                 at = start + off
                 ok = (length > 0) & (at >= 1) & (at + size - 1 <= n) if bound else F.lit(True)
-                keys.append(F.when(ok, F.xxhash64("scope", "kind", F.lit(bound), length, F.lit(i), text.substr(at.cast("int"), size.cast("int")))))
-    return keys
+                keys.append(F.when(ok, _key(bound, length, i, _piece(at, size))))
+    return F.array_compact(F.array(*keys))
+
+
+def _keyed(s: DataFrame, of) -> DataFrame:
+    by = F.when(F.col("bound") == 0, of(0)).when(F.col("bound") == 1, of(1)).otherwise(of(2))
+    return s.select("node", "bit", F.explode(by).alias("k"))
 
 
-def segment_rows(s: DataFrame) -> DataFrame:
-    """node, bit, k: stored segments and probes of every string.
+def stored(s: DataFrame) -> DataFrame:
+    """node, bit, k: the segments of every string."""
+    return _keyed(s, _own)
 
-    A string's own segments are among its probes of difference 0, so one set of
-    keys serves the index and the probe: two strings of lengths l and l' <= l
-    within the bound meet under a segment of the shorter one."""
-    keys = F.when(F.col("bound") == 0, F.array(*_keys_for(0))).when(F.col("bound") == 1, F.array(*_keys_for(1))).otherwise(F.array(*_keys_for(2)))
-    return s.select("node", "bit", F.explode(F.array_compact(keys)).alias("k"))
+
+def probes(s: DataFrame) -> DataFrame:
+    """node, bit, k: the substrings to look up for every string."""
+    return _keyed(s, _probes)
 
 
 def verified(edges: DataFrame) -> DataFrame:
@@ -93,94 +116,163 @@ def verified(edges: DataFrame) -> DataFrame:
     scoped = P.EMAIL | P.PHONE | P.ADDR | P.DOB
     return edges.where(
         F.expr(f"(mask & {scoped}) <> 0 and ({tokens} or {near('a_dob', 'b_dob', 1)})")
-        | F.expr(f"(mask & {P.NEAR_DOB}) <> 0 and {near('a_dob', 'b_dob', 2)}")
         | F.expr(f"(mask & {P.ZIP | P.CITY | P.NAMES}) <> 0 and {near(whole.format('a'), whole.format('b'), 1)}")
     )
 
 
 def _score(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    return P.scored_edges(verified(P.with_profiles(edges, nodes)))
+    return cut(P.scored_edges(verified(P.with_profiles(edges, nodes))))
 
 
-def _profiles(records: DataFrame) -> DataFrame:
-    rec = P.profiles(records, "row_id", "source", "first_seen_at")
-    known = F.coalesce("n1", "n2").isNotNull() & F.coalesce("email", "phone", "dob", "addr", "zip", "city").isNotNull()
-    # a record nothing is known of is like no other
-    return rec.withColumn("node", F.when(known, P.node_id("source")).otherwise(F.xxhash64(F.lit("alone"), "row_id"))).withColumn("known", known)
+def meet(probing: DataFrame, index: DataFrame) -> DataFrame:
+    """a < b, mask: nodes that meet in a segment. A segment held by over PART nodes is
+    cut into parts, and so are the nodes that probe it; every two parts meet in a group of their own."""
+    p, q = parts_of(probing, ["k"], "node"), parts_of(index, ["k"], "node")
+    np_, nq = (x.groupBy("k").agg(F.max("__n").alias(n)).where(F.col(n) > 1) for x, n in ((p, "np"), (q, "nq")))
+    p = p.join(nq, "k", "left").select("k", F.col("node").alias("x"), "bit", F.col("__own").alias("i"), F.explode(F.sequence(F.lit(0), F.coalesce("nq", F.lit(1)) - 1)).alias("j"))
+    q = q.join(np_, "k", "left").select("k", F.col("node").alias("y"), F.col("__own").alias("j"), F.explode(F.sequence(F.lit(0), F.coalesce("np", F.lit(1)) - 1)).alias("i"))
+    return p.join(q, ["k", "i", "j"]).where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.bit_or("bit").alias("mask"))
 
 
-def _nodes(rec: DataFrame) -> DataFrame:
-    return rec.groupBy("node").agg(F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.first("dob").alias("dob"))
+def _range(c) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(RANGES)).cast("int").alias("r")
 
 
-def _shared_scopes(s: DataFrame) -> DataFrame:
-    """Only strings whose scope holds a second node can have a partner."""
-    many = s.groupBy("scope").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("scope")
-    return s.join(many, "scope", "left_semi")
-
-
-def turned_away(records: DataFrame) -> DataFrame:
-    """row_id, source, first_seen_at, entity of every record for which its source
-    already held a record of the same person: each batch is checked against all
-    that came before it and against itself.
-
-    Order is first_seen_at (null last), then row_id. Repeated rows count once;
-    records with a null or empty payload are never turned away."""
-    rec = _profiles(records)
-    nodes = cut(_nodes(rec.where("known")))
-    segments = cut(segment_rows(strings(_shared_scopes(scopes(rec.where("known"))))))
-    graph = cut(L.candidate_graph(segments, nodes), segments)
-    scored = cut(_score(graph.select("a", "b", "mask"), nodes), graph)
-    ent = L.clusters(scored)
-    m = rec.select("row_id", "source", "first_seen_at", "node")
-    m = m.withColumn("entity", F.col("node")) if ent is None else m.join(ent.select(F.col("vertex").alias("node"), "group"), "node", "left").withColumn("entity", F.coalesce("group", "node"))
-    m = cut(m.select("row_id", "source", "first_seen_at", "entity"))
-    when = F.struct(F.col("first_seen_at").isNull().alias("n"), "first_seen_at", "row_id")
-    first = m.groupBy("source", "entity").agg(F.min(when).alias("f"), F.max("row_id").alias("l"), F.min("row_id").alias("m")).where("l <> m").select(F.col("source").alias("s"), F.col("entity").alias("e"), F.col("f.row_id").alias("first_row"))
-    return m.join(first, (m["entity"] == first["e"]) & m["source"].eqNullSafe(first["s"])).where("row_id <> first_row").select("row_id", "source", "first_seen_at", "entity").dropDuplicates(["row_id"])
+WHO = "h1 long, h2 long, node long, r int"
+NODES = "node long, n1 string, n2 string, dob string, entity long, r int"
+SCOPES = "scope long, node long, r int"
+SEGMENTS = "node long, bit int, k long, r int"
+FIRSTS = "entity long, dated boolean, first_seen_at timestamp, first_row long, r int"
+MOVES = "entity long, now long"
+DATES = "feed string, first long, second long"
 
 
 class Gate:
-    """The index on disk, for batches that arrive one after the other.
-
-    Folders: ``segments`` (node, bit, k, scope), ``nodes`` (node, n1, n2, dob) and
-    ``accepted`` (entity links: node -> entity). ``screen`` reads of the history
-    only what the batch's keys hit, and appends the batch."""
-
-    def __init__(self, spark: SparkSession, home: str | None = None):
-        self.spark, self.home = spark, home or new_path(spark, "gate")
-        self.batches = 0
-
-    def _read(self, kind: str, like: DataFrame) -> DataFrame:
-        if not self.batches:
-            return like.limit(0)
-        return self.spark.read.schema(like.schema).parquet(*[f"{self.home}/{kind}/{i}" for i in range(self.batches)])
+    """The index on shared storage, for batches that arrive one after the other.
+
+    ``<table>/batch=<n>/r=<range>`` holds what batch n added: ``who`` (identity ->
+    node), ``nodes`` (profile and the entity it came to), ``scopes``, ``segments``, ``firsts``
+    (the first record of each entity the batch touched; the latest batch counts).
+    ``moves/<n>`` says which entities have become part of another and ``dates/<n>``
+    how the feeds write dates. ``commit/<n>`` ends a batch: what a run that died left
+    without it is written again, and a gate opened on an existing folder goes on
+    from the last commit. A batch reads only the ranges of the tables it hits."""
+
+    def __init__(self, spark: SparkSession, home: str | None = None, fields: dict = P.FIELDS, stand_ins=P.STAND_INS):
+        self.spark, self.home, self.fields, self.stand_ins = spark, home or new_path(spark, "gate"), fields, stand_ins
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.home).getFileSystem(spark._jsc.hadoopConfiguration())
+        done = self._path(f"{self.home}/commit")
+        self.batches = 1 + max((int(f.getPath().getName()) for f in self._fs.listStatus(done)), default=-1) if self._fs.exists(done) else 0
+
+    def _exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(path))
+
+    def read(self, kind: str, schema: str, hit: DataFrame | None = None) -> DataFrame:
+        """What the committed batches hold of a table, in the ranges of ``hit`` (a column r)."""
+        paths = [p for n in range(self.batches) if self._exists(p := f"{self.home}/{kind}/batch={n}")]
+        if not paths:
+            return self.spark.createDataFrame([], schema + ", batch int")
+        df = self.spark.read.schema(schema + ", batch int").option("basePath", f"{self.home}/{kind}").parquet(*paths)
+        if hit is None:
+            return df
+        ranges = [x.r for x in hit.select("r").distinct().collect()]  # RANGES numbers at most
+        return df if len(ranges) == RANGES else df.where(F.col("r").isin(*ranges) if ranges else F.lit(False))
+
+    def _latest(self, kind: str, schema: str) -> DataFrame:
+        """A table that every batch writes anew, in full."""
+        return self.spark.read.schema(schema).parquet(f"{self.home}/{kind}/{self.batches - 1}") if self.batches else self.spark.createDataFrame([], schema)
+
+    def _write(self, kind: str, df: DataFrame) -> None:
+        df.hint("rebalance", "r").write.mode("overwrite").partitionBy("r").parquet(f"{self.home}/{kind}/batch={self.batches}")
 
     def screen(self, batch: DataFrame) -> DataFrame:
-        """The rows of the batch (row_id, entity) that history or an earlier row of the batch already holds."""
-        rec = _profiles(batch)
-        new_nodes = _nodes(rec.where("known"))
-        new_rows = cut(segment_rows(strings(scopes(rec.where("known")))).distinct())
-        new_nodes = cut(new_nodes)
-        old_rows, old_nodes = self._read("segments", new_rows), self._read("nodes", new_nodes)
-        hit = old_rows.join(new_rows.select("k").distinct(), "k", "left_semi").select("node", "bit", "k")
-        rows = new_rows.unionByName(hit)
-        nodes = new_nodes.unionByName(old_nodes.join(hit.select("node").distinct(), "node", "left_semi")).dropDuplicates(["node"])
-        graph = L.candidate_graph(cut(rows), cut(nodes))
-        ent = L.clusters(cut(_score(graph.select("a", "b", "mask"), nodes)))
-        label = new_nodes.select("node", F.col("node").alias("entity"))
-        old = self._read("accepted", label)
-        if ent is not None:
-            g = ent.select(F.col("vertex").alias("node"), "group")
-            known = g.join(old, "node").groupBy("group").agg(F.min("entity").alias("known"))
-            label = new_nodes.select("node").join(g, "node", "left").join(known, "group", "left").select("node", F.coalesce("known", "group", "node").alias("entity"))
-        seen = old.select("node", F.col("entity").alias("was"))
-        label = cut(label.join(seen, "node", "left").select("node", F.coalesce("was", "entity").alias("entity")))
-        m = rec.where("known").select("row_id", "first_seen_at", "node").join(label, "node")
-        before = old.select("entity").distinct().withColumn("old", F.lit(True))
-        first = m.groupBy("entity").agg(F.min_by("row_id", F.struct(F.col("first_seen_at").isNull(), "first_seen_at", "row_id")).alias("first_row"))
-        away = cut(m.join(first, "entity").join(before, "entity", "left").where("old or row_id <> first_row").select("row_id", "entity").dropDuplicates(["row_id"]))
-        for kind, df in (("segments", new_rows), ("nodes", new_nodes), ("accepted", label)):
-            df.write.mode("overwrite").parquet(f"{self.home}/{kind}/{self.batches}")
+        """row_id, source, first_seen_at, entity, late of the records to turn away.
+
+        A record is turned away if its feed already holds an earlier record of the
+        same person (first_seen_at, null last, then row_id), in history or in the
+        batch itself. Where a record of the batch comes before what was first, or
+        shows that two entities are one, the older record that is now a repeat
+        comes out too, ``late``. Repeated rows count once; records of which nothing
+        is known (null or empty payload) are never turned away."""
+        rec, dates = P.profiles_and_dates(batch, "row_id", "source", "first_seen_at", fields=self.fields, stand_ins=self.stand_ins, before=self._latest("dates", DATES))
+        rec = rec.where(P.known()).select("*", *P.identity("source"))
+        who = cut(rec.groupBy("h1", "h2").agg(F.min("row_id").alias("node"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.first("dob").alias("dob")).withColumn("r", _range("h1")))
+        was = self.read("who", WHO, who).select("h1", "h2", F.col("node").alias("was"))
+        who = cut(who.join(was, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("was", "node").alias("node"), "n1", "n2", "dob", "r", F.col("was").isNull().alias("fresh")), who)
+        rec = cut(rec.join(who.select("h1", "h2", "node"), ["h1", "h2"]))
+        texts = cut(strings(scopes(rec)).distinct())
+        here = texts.select("scope", "node", _range("scope")).distinct()
+        # only strings whose scope holds a second node, here or in history, can have a partner
+        scoped = here.unionByName(self.read("scopes", SCOPES, here).drop("batch"))
+        shared = scoped.groupBy("scope").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("scope")
+        live = cut(texts.join(shared, "scope", "left_semi"))
+        asked = cut(probes(live).select("*", _range("k")))
+        index = stored(live).unionByName(self.read("segments", SEGMENTS, asked).select("node", "bit", "k")).distinct()
+        edges = cut(meet(asked.select("node", "bit", "k").distinct(), cut(index)))
+        # profiles and entities of the old nodes that were hit
+        old = who.where("not fresh").select("node").unionByName(edges.select(F.explode(F.array("a", "b")).alias("node")))
+        old = cut(old.distinct().select("node", _range("node")))
+        before = self.read("nodes", NODES, old).join(old.select("node"), "node", "left_semi").select("node", "n1", "n2", "dob", "entity")
+        moves = self._latest("moves", MOVES)
+        before = cut(before.join(moves, "entity", "left").select("node", "n1", "n2", "dob", F.coalesce("now", "entity").alias("entity")))
+        fresh = who.where("fresh").select("node", "n1", "n2", "dob")
+        # within one feed, what is shared says the same however many hold it
+        scored = _score(edges.withColumn("crowd", F.lit(0.0)), fresh.unionByName(before.drop("entity")))
+        met = before.select(F.col("entity"), _range("entity")).distinct()
+        firsts = self.read("firsts", FIRSTS, met).join(met.select("entity"), "entity", "left_semi")
+        firsts = cut(firsts.groupBy("entity").agg(F.max_by(F.struct("dated", "first_seen_at", "first_row"), "batch").alias("f")).select("entity", "f.*"))
+        ent = L.clusters(self._as_entities(scored, before, firsts))
+        step = self.spark.createDataFrame([], "vertex long, group long") if ent is None else cut(ent)
+        label = before.select("node", F.col("entity").alias("vertex"), F.lit(False).alias("fresh")).unionByName(fresh.select("node", F.col("node").alias("vertex"), F.lit(True).alias("fresh")))
+        label = cut(label.join(step, "vertex", "left").select("node", F.coalesce("group", "vertex").alias("entity"), "fresh"))
+        # the first record of every entity, old ones under the name they have now
+        rows = rec.join(label.select("node", "entity"), "node").select("row_id", "source", "first_seen_at", "entity", F.col("dob").isNotNull().alias("dated"), F.lit(False).alias("held"))
+        held = firsts.join(step, firsts["entity"] == step["vertex"], "left").select(F.col("first_row").alias("row_id"), F.lit(None).cast("string").alias("source"), "first_seen_at", F.coalesce("group", "entity").alias("entity"), "dated", F.lit(True).alias("held"))
+        every = cut(rows.unionByName(held))
+        when = F.struct(F.col("first_seen_at").isNull().alias("n"), "first_seen_at", "row_id")
+        first = cut(every.groupBy("entity").agg(F.min(when).alias("f"), F.max("dated").alias("dated"), F.max("source").alias("feed")).select("entity", "dated", "feed", F.col("f.first_seen_at").alias("first_seen_at"), F.col("f.row_id").alias("first_row")))
+        # an entity is of one feed, that of the record which touched it
+        away = every.join(first.select("entity", "feed", "first_row"), "entity").where("row_id <> first_row")
+        away = cut(away.groupBy("row_id").agg(F.max("feed").alias("source"), F.first("first_seen_at").alias("first_seen_at"), F.first("entity").alias("entity"), F.min("held").alias("late")))
+        gone = step.join(firsts.select(F.col("entity").alias("vertex")), "vertex", "left_semi").where("vertex <> group").select(F.col("vertex").alias("entity"), F.col("group").alias("now"))
+        kept = moves.join(gone.select(F.col("entity").alias("now"), F.col("now").alias("n2")), "now", "left").select("entity", F.coalesce("n2", "now").alias("now"))
+        self._write("who", who.where("fresh").select("h1", "h2", "node", "r"))
+        self._write("nodes", fresh.join(label, "node").select("node", "n1", "n2", "dob", "entity", _range("node")))
+        # a known node in a known scope has its segments already
+        new = texts if not self.batches else texts.join(self.read("scopes", SCOPES, here).select("scope", "node"), ["scope", "node"], "left_anti")
+        self._write("scopes", new.select("scope", "node", _range("scope")).distinct())
+        self._write("segments", stored(new).select("*", _range("k")))
+        self._write("firsts", first.select("entity", "dated", "first_seen_at", "first_row", _range("entity")))
+        kept.unionByName(gone).write.mode("overwrite").parquet(f"{self.home}/moves/{self.batches}")
+        dates.select("feed", "first", "second").write.mode("overwrite").parquet(f"{self.home}/dates/{self.batches}")
+        self._fs.mkdirs(self._path(f"{self.home}/commit/{self.batches}"))
         self.batches += 1
+        for t in (rec, who, texts, live, asked, edges, scored, old, before, firsts, label, every, first):
+            forget(t)
         return away
+
+    @staticmethod
+    def _as_entities(scored: DataFrame, before: DataFrame, firsts: DataFrame) -> DataFrame:
+        """Edges between the entities of old nodes instead of the nodes themselves."""
+        to = before.join(firsts.select("entity", "dated"), "entity", "left").select("node", "entity", (~F.coalesce("dated", F.lit(False))).alias("open"))
+        for x in "ab":
+            t = to.select(F.col("node").alias(x), F.col("entity").alias("__e"), F.col("open").alias("__o"))
+            scored = scored.join(t, x, "left").withColumns({x: F.coalesce("__e", x), f"{x}_open": F.coalesce("__o", f"{x}_open")}).drop("__e", "__o")
+        return scored.where("a <> b")
+
+
+def turned_away(records: DataFrame, daily: int = 1, home: str | None = None, **params) -> DataFrame:
+    """row_id, source, first_seen_at, entity of every record for which its source
+    already held a record of the same person: what lies before the last ``daily`` days
+    of first_seen_at is taken into the index as one backfill, then each of those days
+    as a batch of its own. The answer does not depend on ``daily``."""
+    gate = Gate(records.sparkSession, home, **params)
+    day = F.to_date("first_seen_at")
+    last = [r.d for r in records.select(day.alias("d")).where("d is not null").distinct().orderBy(F.desc("d")).limit(daily).collect()]
+    if not last:
+        return gate.screen(records).drop("late")
+    out = gate.screen(records.where(day.isNull() | (day < F.lit(min(last)))))
+    for d in sorted(last):
+        out = out.unionByName(gate.screen(records.where(day == F.lit(d))))
+    return out.drop("late").groupBy("row_id").agg(F.max("source").alias("source"), F.first("first_seen_at").alias("first_seen_at"), F.max_by("entity", "source").alias("entity"))

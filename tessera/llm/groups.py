@@ -9,8 +9,10 @@ vertex into a neighbouring local minimum of a random order. Each removal leaves
 one pointer; following the pointers restores the labels of removed vertices.
 
 No step brings the edges of a vertex together: degrees are counted with partial
-aggregation, and removed edges are found by the pair, not by the vertex, so a
-hub that holds a third of all links makes no hot task.
+aggregation, removed edges are found by the pair, not by the vertex, and where
+vertices take something from the vertex they point to, that vertex' row is sent to
+as many parts as its pointers are cut into (see ``_follow``), so neither a hub nor
+a giant component that holds a third of all links makes a hot task.
 """
 
 from __future__ import annotations
@@ -20,6 +22,9 @@ from pyspark.sql import functions as F
 
 from tessera.session import cut, forget
 
+#: Rows that may point to one vertex before they are cut into parts.
+PART = 100_000
+
 
 def _canonical(e: DataFrame) -> DataFrame:
     return e.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
@@ -48,13 +53,22 @@ def without(e: DataFrame, gone: DataFrame) -> DataFrame:
     return e.join(lost, ["u", "v"], "left_anti").unionByName(bridges).distinct()
 
 
+def _follow(rows: DataFrame, to: DataFrame, key: str, how: str = "inner", part: int = PART) -> DataFrame:
+    """``rows`` joined to ``to`` (one row per value of ``key``); a value that more than
+    ``part`` rows carry is cut into parts, each of which meets its own copy of the row in ``to``."""
+    hot = rows.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias("__c")).where(F.col("__c") > part).select("__k", F.ceil(F.col("__c") / part).cast("int").alias("__n"))
+    x = rows.join(hot, F.col(key) == F.col("__k"), "left").withColumn("__s", F.pmod(F.xxhash64("x"), F.coalesce("__n", F.lit(1))).cast("int")).drop("__k", "__n")
+    y = to.join(hot, F.col(key) == F.col("__k"), "left").withColumn("__s", F.explode(F.sequence(F.lit(0), F.coalesce("__n", F.lit(1)) - 1))).drop("__k", "__n")
+    return x.join(y, [key, "__s"], how).drop("__s")
+
+
 def contract(e: DataFrame, turn: int) -> DataFrame:
     """Core vertices to merge this round: x -> p, where p is a neighbour that is
     the first of its own neighbourhood in this round's random order."""
     key = lambda c: F.struct(F.xxhash64(F.lit(turn), c).alias("h"), F.col(c).alias("i"))
     first = _arcs(e).groupBy("x").agg(F.min(key("n")).alias("m"))
     first = first.select("x", F.least(F.col("m"), key("x"))["i"].alias("p"))
-    return first.where("x <> p").join(first.where("x = p").select("p"), "p").select("x", "p")
+    return _follow(first.where("x <> p"), first.where("x = p").select("p"), "p").select("x", "p")
 
 
 def renamed(e: DataFrame, to: DataFrame) -> DataFrame:
@@ -93,10 +107,11 @@ def connected_groups(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         forget(p)
     while depth < len(parts):  # pointer doubling: no path is longer than the number of rounds
         up = forest.select(F.col("x").alias("p"), F.col("p").alias("q"))
-        forest = cut(forest.join(up, "p", "left").select("x", F.coalesce("q", "p").alias("p")), forest)
+        forest = cut(_follow(forest, up, "p", "left").select("x", F.coalesce("q", "p").alias("p")), forest)
         depth *= 2
     least = forest.groupBy("p").agg(F.least(F.min("x"), F.first("p")).alias("group"))
-    tree = forest.join(least, "p").select(F.col("x").alias("vertex"), "group")
+    least = cut(least)
+    tree = _follow(forest, least, "p").select(F.col("x").alias("vertex"), "group")
     return tree.unionByName(least.select(F.col("p").alias("vertex"), "group"))
 
 

@@ -4,11 +4,14 @@
 2. Candidate graph: nodes that share a rare combination of attributes are
    joined; an edge weighs the rarity of all it shares (log of inverse frequency).
 3. Meta-blocking: an edge lighter than half of the mean edge of both its ends
-   is pruned.
-4. Edges are scored; edges above the threshold form clusters. Then the evidence
-   of neighbouring edges is pooled: what any member of one cluster shares with
-   any member of another counts for both, and profiles without a birth date join
-   the best cluster among their neighbours. This repeats until nothing changes.
+   is pruned, unless it shares two contacts or dates at once.
+4. Edges are scored; a shared contact counts less the more nodes hold it. Edges
+   above the threshold form clusters. Then similarity is propagated: what any
+   member of one cluster shares with any member of another counts for both; two
+   clusters with a common relative (a neighbour of another first name at the same
+   contact) support each other, the more the fewer relations that neighbour has; and
+   profiles without a birth date join the best cluster among their neighbours. This
+   repeats until no link is left; each turn merges two clusters at least, so it ends.
 
 Every block emits all its pairs. A block of more than BLOCK nodes (a hot entity, a
 shared mailbox) is salted into parts of about that size, and each two parts are
@@ -26,10 +29,14 @@ from pyspark.sql import functions as F
 
 from tessera.llm import people as P
 from tessera.llm.groups import connected_groups
+from tessera.operators.blocking import meetings
 from tessera.session import cut, forget
 
 BLOCK = 40
-MAX_ROUNDS = 6
+#: Contacts: what people share who live or work together.
+CONTACTS = P.EMAIL | P.PHONE | P.ADDR
+#: Support of a common relative with two relations; it falls with the log of their number.
+RELATIVE = 2.2
 #: Score of equal whole names and nothing else.
 NAME_ALONE = 8.0
 
@@ -44,7 +51,7 @@ def _keys():
         out += [(bit, attr, [F.col(attr), start("n1")]), (bit, attr, [F.col(attr), start("n2")])]
         if attr != "dob":
             out += [(bit, attr + "+dob", [F.col(attr), F.col("dob")])]
-    out += [(P.ZIP, "zip", [names, F.col("zip")]), (P.CITY, "city", [names, F.col("city")]), (P.NAMES, "names", [names])]
+    out += [(P.ZIP, "zip", [names, F.col("zip")]), (P.ZIP, "zip+name", [F.col("zip"), F.col("n1")]), (P.ZIP, "zip+name", [F.col("zip"), F.col("n2")]), (P.CITY, "city", [names, F.col("city")]), (P.NAMES, "names", [names])]
     return out
 
 
@@ -55,10 +62,11 @@ def key_rows(profiles: DataFrame) -> DataFrame:
 
 
 def candidate_graph(rows: DataFrame, nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Edges a < b with mask (what is shared) and w (its rarity)."""
+    """Edges a < b with mask (what is shared), w (its rarity) and crowd (log of half the
+    number of nodes that hold the rarest contact shared, 0 without one)."""
     n = nodes.count()
     size = rows.groupBy("k").agg(F.count_distinct("node").alias("c")).where("c > 1")
-    shared = rows.join(size, "k").withColumn("w", F.log(F.lit(float(max(n, 2))) / F.col("c")).cast("float"))
+    shared = rows.join(size, "k").withColumn("w", F.struct(F.log(F.lit(float(max(n, 2))) / F.col("c")).cast("float").alias("w"), F.when(F.col("bit").bitwiseAND(CONTACTS) > 0, F.log(F.col("c") / 2)).cast("float").alias("crowd")))
     small = shared.where(F.col("c") <= block).groupBy("k", "bit", "w").agg(F.collect_set("node").alias("m"))
     pairs = small.select("bit", "w", F.explode("m").alias("a"), "m").select("bit", "w", "a", F.explode("m").alias("b")).where("a < b")
     # a node meets its own part and every other part once
@@ -67,14 +75,16 @@ def candidate_graph(rows: DataFrame, nodes: DataFrame, block: int = BLOCK) -> Da
     met = salt.groupBy("k", "bit", "w", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j")).agg(F.collect_set(F.struct("node", "own")).alias("m"))
     met = met.select("bit", "w", "i", "j", F.explode("m").alias("x"), "m").select("bit", "w", "i", "j", "x", F.explode("m").alias("y")).where("x.node < y.node and (i = j or x.own <> y.own)")
     hot = met.select("bit", "w", F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return pairs.unionByName(hot).groupBy("a", "b").agg(F.bit_or("bit").alias("mask"), F.sum("w").alias("w"))
+    return pairs.unionByName(hot).groupBy("a", "b").agg(F.bit_or("bit").alias("mask"), F.sum("w.w").alias("w"), F.coalesce(F.min("w.crowd"), F.lit(0.0)).cast("double").alias("crowd"))
 
 
 def meta_block(edges: DataFrame) -> DataFrame:
-    """Weighted node pruning: an edge stays if it has half the mean weight of the edges at either end."""
+    """Weighted node pruning: an edge stays if it has half the mean weight of the edges at
+    either end, or shares two or more of mail, phone, address and birth date."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("x"), "w").groupBy("x").agg((F.avg("w") / 2).alias("m"))
     a, b = ends.select(F.col("x").alias("a"), F.col("m").alias("ma")), ends.select(F.col("x").alias("b"), F.col("m").alias("mb"))
-    return edges.join(a, "a").join(b, "b").where("w >= least(ma, mb)").select("a", "b", "mask")
+    sure = F.bit_count(F.col("mask").bitwiseAND(CONTACTS | P.DOB)) >= 2
+    return edges.join(a, "a").join(b, "b").where((F.col("w") >= F.least("ma", "mb")) | sure).select("a", "b", "mask", "crowd")
 
 
 def score(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -93,15 +103,29 @@ def _pooled(e: DataFrame) -> DataFrame:
     return x.groupBy("a", "b").agg(F.bit_or("mask").alias("mask"), F.max("base").alias("base"), F.max("clash").alias("clash"), F.min("a_open").alias("a_open"), F.min("b_open").alias("b_open"))
 
 
-def clusters(scored: DataFrame) -> DataFrame:
-    """vertex, group for every node linked to another."""
-    # weak edges stay for pooling, clashes as a veto
-    e = cut(scored.where((F.col("base") + P.shared_score(F.col("mask")) >= 2.0) | F.col("clash")))
-    found, labels = None, None
-    for turn in range(MAX_ROUNDS):
+def _supported(p: DataFrame) -> DataFrame:
+    """Pooled edges with s, their score; what falls short of the threshold by no more
+    than RELATIVE gets the support of common relatives."""
+    total = F.col("base") + P.shared_score(F.col("mask"))
+    p = p.withColumn("s", total)
+    weak = p.where(~F.col("clash") & (F.col("s") < P.ACCEPT) & (F.col("s") >= P.ACCEPT - RELATIVE)).select("a", "b")
+    kin = p.where((F.col("base") <= -20) & (F.col("mask").bitwiseAND(CONTACTS) > 0))
+    arcs = kin.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("z")), F.struct(F.col("b").alias("x"), F.col("a").alias("z")))).alias("e")).select("e.*")
+    # a relative of one node only is common to none
+    worth = arcs.groupBy("z").agg(F.count("*").alias("d")).where("d > 1").select("z", (RELATIVE * F.log(F.lit(3.0)) / F.log(1.0 + F.col("d"))).alias("v"))
+    arcs = arcs.join(worth, "z")
+    near = weak.join(arcs.select(F.col("x").alias("a"), "z", "v"), "a").join(arcs.select(F.col("x").alias("b"), "z"), ["b", "z"]).groupBy("a", "b").agg(F.max("v").alias("v"))
+    return p.join(near, ["a", "b"], "left").withColumn("s", F.col("s") + F.coalesce("v", F.lit(0.0))).drop("v")
+
+
+def clusters(scored: DataFrame) -> DataFrame | None:
+    """vertex, group for every node linked to another; None if no two are."""
+    # weak edges stay for pooling, clashes as a veto, other people at the same contact as relatives
+    e = cut(scored.where((F.col("base") + P.shared_score(F.col("mask")) >= 2.0) | F.col("clash") | (F.col("mask").bitwiseAND(CONTACTS) > 0)))
+    labels = None
+    while True:
         p = cut(_pooled(e))
-        total = F.col("base") + P.shared_score(F.col("mask"))
-        good = p.where("not clash").withColumn("s", total)
+        good = _supported(p).where("not clash")
         sure = good.where("not a_open and not b_open").where(F.col("s") >= P.ACCEPT).select("a", "b")
         # a profile without a birth date joins one cluster only: the best of its neighbours
         # or, by its whole name alone, the only one of that name
@@ -112,8 +136,9 @@ def clusters(scored: DataFrame) -> DataFrame:
         best = ends.groupBy("x").agg(F.max_by("y", F.struct((F.col("s") >= P.ACCEPT).alias("g"), ~F.col("both"), "s", -F.col("y"))).alias("y"), F.max("s").alias("s"), F.count("*").alias("n")).where((F.col("s") >= P.ACCEPT) | (F.col("n") == 1)).select(F.col("x").alias("a"), F.col("y").alias("b"))
         links = cut(sure.unionByName(best))
         if not links.take(1):
-            break
-        step = cut(connected_groups(links, "a", "b"))
+            forget(p), forget(e)
+            return labels
+        step = cut(connected_groups(links, "a", "b"), links)
         if labels is None:
             labels = step
         else:
@@ -126,18 +151,17 @@ def clusters(scored: DataFrame) -> DataFrame:
         r = _relabel(p, step)
         oa, ob = is_open.select(F.col("x").alias("a"), F.col("o").alias("ao")), is_open.select(F.col("x").alias("b"), F.col("o").alias("bo"))
         e = cut(r.join(oa, "a").join(ob, "b").select("a", "b", "mask", "base", "clash", F.col("ao").alias("a_open"), F.col("bo").alias("b_open")), e, p)
-    return labels
 
 
-def link(records: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+def link(records: DataFrame, fields: dict = P.FIELDS, stand_ins=P.STAND_INS) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """(members, entities, support). members: row_id, source, node for each record
     with a name and another attribute; entities: vertex (node), group (None if no
     two nodes are linked; a node alone has no row); support: x (node), s (its best
-    score). Records whose payload is null or empty match nothing."""
-    rec = P.profiles(records, "row_id", "source")
-    rec = rec.where(F.coalesce("n1", "n2").isNotNull() & F.coalesce("email", "phone", "dob", "addr", "zip", "city").isNotNull())
-    rec = rec.withColumn("node", P.node_id())
-    nodes = cut(rec.groupBy("node").agg(F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.first("dob").alias("dob")))
+    score). A node is named by its least row_id. Records whose payload is null or empty match nothing."""
+    rec = P.profiles(records, "row_id", "source", fields=fields, stand_ins=stand_ins).where(P.known()).select("*", *P.identity())
+    who = cut(rec.groupBy("h1", "h2").agg(F.min("row_id").alias("node"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.first("dob").alias("dob")))
+    rec = cut(rec.join(who.select("h1", "h2", "node"), ["h1", "h2"]).drop("h1", "h2"))
+    nodes = who.select("node", "n1", "n2", "dob")
     rows = cut(key_rows(rec))
     graph = cut(candidate_graph(rows, nodes), rows)
     scored = cut(score(meta_block(graph), nodes), graph)
@@ -146,19 +170,34 @@ def link(records: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     return rec.select("row_id", "source", "node"), clusters(scored), support
 
 
-def matched_pairs(records: DataFrame, confidence: bool = False) -> DataFrame:
-    """row_id_a < row_id_b of different sources describing one entity; on request
-    with a confidence: near 1 for records of one node, else a logistic function of
-    the weaker record's best score against the threshold."""
-    rec, ent, support = link(records)
+def _members(records: DataFrame, confidence: bool, **params) -> DataFrame:
+    rec, ent, support = link(records, **params)
     m = rec.withColumn("group", F.col("node")) if ent is None else rec.join(ent.select(F.col("vertex").alias("node"), "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
     if confidence:
         m = m.join(support.withColumnRenamed("x", "node"), "node", "left")
-    extra = ["node", "s"] if confidence else []
-    m = cut(m.select("row_id", "source", "group", *extra).dropDuplicates(["row_id"]))
-    a, b = (m.select("group", *[F.col(c).alias(f"{c}_{x}") for c in ("row_id", "source", *extra)]) for x in "ab")
-    out = a.join(b, "group").where("row_id_a < row_id_b and source_a <> source_b")
+    return cut(m.select("row_id", "source", "group", *(["node", "s"] if confidence else [])).dropDuplicates(["row_id"]))
+
+
+def entities(records: DataFrame, **params) -> tuple[DataFrame, DataFrame]:
+    """(links, members): the result in linear size. links: node_a < node_b, confidence of
+    each node against the node its entity is named after; members: row_id, source, node,
+    entity of every record with a name and another attribute."""
+    m = _members(records, True, **params).select("row_id", "source", "node", F.col("group").alias("entity"), "s")
+    n = m.where("node <> entity").groupBy(F.col("entity").alias("node_a"), F.col("node").alias("node_b")).agg(F.max("s").alias("s"))
+    return n.select("node_a", "node_b", F.round(_logistic(F.coalesce("s", F.lit(P.ACCEPT))), 4).alias("confidence")), m.drop("s")
+
+
+def _logistic(s):
+    return 1 / (1 + F.exp((P.ACCEPT - s) / 3))
+
+
+def matched_pairs(records: DataFrame, confidence: bool = False, **params) -> DataFrame:
+    """row_id_a < row_id_b of different sources describing one entity; on request
+    with a confidence: near 1 for records of one node, else a logistic function of
+    the weaker record's best score against the threshold. A hot entity meets in parts."""
+    m = meetings(_members(records, confidence, **params), ["group"], "row_id").where("x.source <> y.source")
+    ids = [F.col("x.row_id").alias("row_id_a"), F.col("y.row_id").alias("row_id_b")]
     if not confidence:
-        return out.select("row_id_a", "row_id_b")
-    c = F.when(F.col("node_a") == F.col("node_b"), F.lit(0.999)).otherwise(1 / (1 + F.exp((P.ACCEPT - F.least(F.coalesce("s_a", F.lit(P.ACCEPT)), F.coalesce("s_b", F.lit(P.ACCEPT)))) / 3)))
-    return out.select("row_id_a", "row_id_b", F.round(c, 4).alias("confidence"))
+        return m.select(*ids)
+    c = F.when(F.col("x.node") == F.col("y.node"), F.lit(0.999)).otherwise(_logistic(F.least(F.coalesce("x.s", F.lit(P.ACCEPT)), F.coalesce("y.s", F.lit(P.ACCEPT)))))
+    return m.select(*ids, F.round(c, 4).alias("confidence"))

@@ -17,47 +17,75 @@ from tessera.session import cut
 #: Latin letters with marks and their base letter, by rule.
 _MARKED = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) > 1 and unicodedata.normalize("NFD", c)[0].isascii()}
 _FROM, _TO = "".join(_MARKED), "".join(_MARKED.values())
-#: Feeds that write the day before the month with slashes.
-DAY_FIRST = ("paper_forms",)
 ATTRIBUTES = ["n1", "n2", "email", "phone", "dob", "addr", "zip", "city"]
 
 
-def _clean(c: Column) -> Column:
+def _clean(c: Column, stand_ins=STAND_INS) -> Column:
     v = F.lower(F.trim(c, F.lit(" \t\r\n")))
     v = F.when(v.contains("  ") | v.contains("\t") | v.contains("\n"), F.regexp_replace(v, r"\s+", " ")).otherwise(v)
-    return F.when(~v.isin(*sorted(STAND_INS)), v)
+    return F.when(~v.isin(*sorted(stand_ins)), v)
 
 
 def _fold(c: Column) -> Column:
     return F.when(F.length(c) != F.octet_length(c), F.translate(c, _FROM, _TO)).otherwise(c)
 
 
-def profiles(records: DataFrame, *keep: str) -> DataFrame:
+def profiles(records: DataFrame, *keep: str, fields: dict = FIELDS, stand_ins=STAND_INS) -> DataFrame:
     """``keep`` columns and the attributes n1, n2 (first and last name token),
     email, phone (10 digits), dob (yyyymmdd), addr (house number and street
     word), zip, city; absent, blank and stand-in values are null. Cut-off
     payloads give the values that are still whole; null payloads give nulls.
 
-    The result is written: filters on it must not be pushed into the parsing
-    expressions, which they would multiply."""
+    ``fields`` names the payload keys of each attribute, in lower or upper case,
+    ``stand_ins`` the values that stand in for a missing one; both are parameters.
+    Whether a feed writes the day or the month first is read off its own dates: what
+    is above 12 is a day; a feed without such a date writes the month first.
+
+    The parsed values are written: filters on them must not be pushed into the
+    parsing expressions, which they would multiply."""
+    return profiles_and_dates(records, *keep, fields=fields, stand_ins=stand_ins)[0]
+
+
+def profiles_and_dates(records: DataFrame, *keep: str, fields: dict = FIELDS, stand_ins=STAND_INS, before: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Profiles and what is known of the feeds' dates; ``before`` is what earlier batches showed."""
+    r = cut(_parsed(records, keep, fields, stand_ins))
+    order = cut(date_order(r, before))
+    two = F.split("slash", "/")
+    day_first = F.col("first") > F.col("second")
+    day, month = F.when(day_first, two[0]).otherwise(two[1]), F.when(day_first, two[1]).otherwise(two[0])
+    dob = F.when(F.col("slash").isNotNull(), F.concat(two[2], month, day)).otherwise(F.col("dob"))
+    out = r.join(order, F.coalesce("source", F.lit("")) == F.col("feed"), "left")
+    dob = F.when((F.length(dob) == 8) & (dob != "19000101") & dob.try_cast("int").isNotNull(), dob)
+    return out.select(*keep, *([] if "source" in keep else ["source"]), "n1", "n2", "email", "phone", dob.alias("dob"), "addr", "zip", "city"), order
+
+
+def date_order(parsed: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """feed, first, second: how many of a feed's dates with slashes have a day in the first or second place."""
+    two = F.split("slash", "/")
+    seen = parsed.where(F.length(two[2]) == 4).groupBy(F.coalesce("source", F.lit("")).alias("feed")).agg(F.count_if(two[0] > "12").alias("first"), F.count_if(two[1] > "12").alias("second"))
+    return seen if before is None else seen.unionByName(before).groupBy("feed").agg(F.sum("first").alias("first"), F.sum("second").alias("second"))
+
+
+def _parsed(records: DataFrame, keep: tuple, fields: dict, stand_ins) -> DataFrame:
+    """The attributes of :func:`profiles`; of a date with slashes its parts, two digits each, as ``slash``."""
     raw = F.col("payload")
     r = records.select(*keep, *([] if "source" in keep else ["source"]), "payload", F.from_json(raw, "map<string,string>").alias("m"))
     broken = F.col("m").isNull() | (F.size("m") <= 0)
 
     def get(field: str) -> Column:
-        names = [v for k in FIELDS[field] for v in (k, k.upper())]
+        names = [v for k in fields[field] for v in (k, k.upper())]
         found = F.coalesce(*[F.col("m")[k] for k in names])
         nested = {"email": ("contact", "email"), "phone": ("contact", "phone"), "address": ("address", "line1"), "city": ("address", "city"), "zip": ("address", "zip")}.get(field)
         if nested:
             inner = F.get_json_object(F.col("m")[nested[0]], f"$.{nested[1]}")
             is_object = F.col("m")[nested[0]].startswith("{")
             found = F.when(is_object, inner).otherwise(found)
-        cut_off = F.regexp_extract(raw, rf'"(?i:{"|".join(FIELDS[field])})"\s*:\s*"?([^"{{}},]*)"?\s*[,}}]', 1)
+        cut_off = F.regexp_extract(raw, rf'"(?i:{"|".join(fields[field])})"\s*:\s*"?([^"{{}},]*)"?\s*[,}}]', 1)
         return F.when(broken, F.when(cut_off != "", cut_off)).otherwise(found)
 
     # one step a layer: a layer that is used more than once is not inlined again
-    r = r.select(*keep, "source", *[get(f).alias(f) for f in FIELDS if f != "state"])
-    r = r.select(*keep, "source", *[_clean(F.col(f)).alias(f) for f in FIELDS if f != "state"])
+    r = r.select(*keep, "source", *[get(f).alias(f) for f in fields if f != "state"])
+    r = r.select(*keep, "source", *[_clean(F.col(f), stand_ins).alias(f) for f in fields if f != "state"])
     full = F.col("full_name")
     turned = F.when(full.contains(","), F.concat_ws(" ", F.trim(F.substring_index(full, ",", -1)), F.trim(F.substring_index(full, ",", 1)))).otherwise(full)
     whole = F.trim(_fold(F.coalesce(turned, F.concat_ws(" ", F.col("first_name"), F.col("last_name")))))
@@ -72,14 +100,12 @@ def profiles(records: DataFrame, *keep: str) -> DataFrame:
     d, at = F.col("birth_date"), lambda i, n: F.substring("birth_date", i, n)
     part = lambda sep, i: F.lpad(F.split_part(d, F.lit(sep), F.lit(i)), 2, "0")
     month = F.lpad(((F.position(F.substring(F.split_part(d, F.lit(" "), F.lit(2)), 1, 3), F.lit("janfebmaraprmayjunjulaugsepoctnovdec")) + 2) / 3).cast("int").cast("string"), 2, "0")
-    day_first = F.col("source").isin(*DAY_FIRST)
     slash = d.contains("/")
     dob = (
         F.when((at(5, 1) == "-") & (at(8, 1) == "-"), F.concat(at(1, 4), at(6, 2), at(9, 2)))
         .when(F.length(d) == 8, F.when(~slash, d))
-        .when(slash, F.concat(F.split_part(d, F.lit("/"), F.lit(3)), F.when(day_first, part("/", 2)).otherwise(part("/", 1)), F.when(day_first, part("/", 1)).otherwise(part("/", 2))))
         .when((at(3, 1) == ".") & (at(6, 1) == "."), F.concat(at(7, 4), at(4, 2), at(1, 2)))
-        .when(d.contains(" "), F.concat(F.split_part(d, F.lit(" "), F.lit(3)), month, part(" ", 1)))
+        .when(~slash & d.contains(" "), F.concat(F.split_part(d, F.lit(" "), F.lit(3)), month, part(" ", 1)))
     )
     has_comma = F.col("line").contains(",")
     house = r"^\W*(\d+)\s*([a-z]+)"
@@ -88,14 +114,12 @@ def profiles(records: DataFrame, *keep: str) -> DataFrame:
     zip_ = F.when(F.col("zip").isNotNull(), F.regexp_extract("zip", r"^(\d{5})(?:\D|$)", 1)).otherwise(tail)
     second = F.trim(F.split_part("line", F.lit(","), F.lit(2)))
     city = F.when(F.col("city").isNotNull(), _fold(F.col("city"))).when(has_comma & (F.length(second) > 2) & ~second.rlike("[0-9]"), second)
-    r = r.select(*keep, *([] if "source" in keep else ["source"]), n1.alias("n1"), n2.alias("n2"), F.when(F.col("email").contains("@"), F.col("email")).alias("email"), phone.alias("phone"), dob.alias("dob"), number.alias("number"), street.alias("street"), zip_.alias("zip"), city.alias("city"))
-    r = r.select(
-        *keep, *([] if "source" in keep else ["source"]), "n1", "n2", "email", "phone",
-        F.when((F.length("dob") == 8) & (F.col("dob") != "19000101") & F.col("dob").try_cast("int").isNotNull(), F.col("dob")).alias("dob"),
+    r = r.select(*keep, *([] if "source" in keep else ["source"]), n1.alias("n1"), n2.alias("n2"), F.when(F.col("email").contains("@"), F.col("email")).alias("email"), phone.alias("phone"), dob.alias("dob"), F.when(slash, F.concat_ws("/", part("/", 1), part("/", 2), F.split_part(d, F.lit("/"), F.lit(3)))).alias("slash"), number.alias("number"), street.alias("street"), zip_.alias("zip"), city.alias("city"))
+    return r.select(
+        *keep, *([] if "source" in keep else ["source"]), "n1", "n2", "email", "phone", "dob", "slash",
         F.when((F.col("number") != "") & (F.col("street") != ""), F.concat_ws(" ", "number", F.substring("street", 1, 6))).alias("addr"),
         F.when(~F.col("zip").isin("", "00000", "99999"), F.col("zip")).alias("zip"), "city",
     )
-    return cut(r)
 
 
 def whole_name() -> Column:
@@ -103,11 +127,19 @@ def whole_name() -> Column:
     return F.when(F.col("n1").isNotNull() & F.col("n2").isNotNull(), F.concat_ws(" ", F.least("n1", "n2"), F.greatest("n1", "n2")))
 
 
-def node_id(*scope: str) -> Column:
-    """One id for records that certainly describe one person: equal whole names and
-    birth date; without a whole name or a birth date, only wholly equal profiles."""
+def identity(*scope: str) -> list[Column]:
+    """h1, h2: two hashes (128 bits) equal for records that certainly describe one person:
+    equal whole names and birth date; without a whole name or a birth date, only wholly
+    equal profiles."""
     sure = (F.length(F.regexp_replace("n1", r"\.", "")) > 1) & (F.length(F.regexp_replace("n2", r"\.", "")) > 1) & F.col("dob").isNotNull()
-    return F.when(sure, F.xxhash64(*[F.col(s) for s in scope], F.lit(1), "n1", "n2", "dob")).otherwise(F.xxhash64(*[F.col(s) for s in scope], F.lit(2), *[F.coalesce(F.col(a), F.lit("\x00")) for a in ATTRIBUTES]))
+    cols = [F.col(s) for s in scope]
+    of = lambda seed: F.when(sure, F.xxhash64(F.lit(seed), *cols, F.lit(1), "n1", "n2", "dob")).otherwise(F.xxhash64(F.lit(seed), *cols, F.lit(2), *[F.coalesce(F.col(a), F.lit("\x00")) for a in ATTRIBUTES]))
+    return [of(11).alias("h1"), of(23).alias("h2")]
+
+
+def known() -> Column:
+    """There is something to match by: a name and another attribute."""
+    return F.coalesce("n1", "n2").isNotNull() & F.coalesce("email", "phone", "dob", "addr", "zip", "city").isNotNull()
 
 
 #: What two profiles may share, as bits of a mask, and its weight (natural log odds, rounded).
@@ -142,8 +174,10 @@ _DATES = f"case when a_dob is null or b_dob is null then 0D when a_dob = b_dob t
 
 
 def scored_edges(pairs: DataFrame) -> DataFrame:
-    """a, b, mask, base, clash, a_open, b_open of pairs with columns a_n1, a_n2,
-    a_dob, b_n1, b_n2, b_dob.
+    """a, b, mask, base, clash, a_open, b_open of pairs with columns mask, crowd, a_n1,
+    a_n2, a_dob, b_n1, b_n2, b_dob. ``crowd`` is the log of half the number of nodes
+    that hold the rarest thing shared: half of it is taken off the base, as a mailbox
+    of a hundred people says less than one of two.
 
     base: agreement of names and birth dates; people of different first names are
     different (relatives and twins share all else). clash: what keeps two profiles
@@ -152,7 +186,7 @@ def scored_edges(pairs: DataFrame) -> DataFrame:
     e = pairs.select("*", F.expr(_NAMES).alias("names"), F.expr(_DATES).alias("dates"))
     other = F.col("names") <= -5
     clash = ~other & (F.col("dates") < 0) | other & (F.col("dates") == 7) & F.expr("coalesce(a_n2 = b_n2, false)")
-    return e.select("a", "b", "mask", (F.col("names") + F.col("dates") - F.when(other, 30.0).otherwise(0.0)).alias("base"), clash.alias("clash"), F.col("a_dob").isNull().alias("a_open"), F.col("b_dob").isNull().alias("b_open"))
+    return e.select("a", "b", "mask", (F.col("names") + F.col("dates") - F.when(other, 30.0).otherwise(0.0) - F.col("crowd") / 2).alias("base"), clash.alias("clash"), F.col("a_dob").isNull().alias("a_open"), F.col("b_dob").isNull().alias("b_open"))
 
 
 def shared_score(mask: Column) -> Column:

@@ -7,10 +7,14 @@ they agree on values that are judged false, and copied votes are discounted.
 The fused record takes the value of maximum posterior in every field; the
 surviving record is the one with most claims, then the latest, then the first.
 
-The model is one accuracy per source and one dependence per pair of sources;
-only these few numbers ever reach the driver. Claims stay distributed: votes are
-counted per (cluster, field, value, source) with partial aggregation before any
-grouping, so a cluster of a third of all rows does not meet in one task.
+The posterior of a value depends only on which sources stand behind it and behind
+its rivals. So the items (cluster, field) are counted by that pattern - the sets of
+sources behind their values - and the estimation runs over the distinct patterns,
+until no accuracy and no dependence moves any more; only the model itself (a number
+per source and per pair of sources) ever reaches the driver. Claims stay distributed:
+they are counted per (cluster, field, value) with partial aggregation, and an item
+enters its pattern as at most one entry per set of sources, so a cluster of a third of
+all rows does not meet in one task.
 """
 
 from __future__ import annotations
@@ -18,9 +22,10 @@ from __future__ import annotations
 import json
 import math
 import re
+from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import cut
@@ -91,62 +96,133 @@ def members(golden: DataFrame, records: DataFrame) -> DataFrame:
     return records.select("row_id", "source", "last_seen_at", "payload").join(named, "row_id").dropDuplicates(["cluster_id", "row_id"])
 
 
-def _dependence(votes: DataFrame, acc: dict, copying: float, prior: float, n_false: float) -> dict:
-    """P(one source copies the other) for each pair, from items both speak about."""
-    best = votes.groupBy("cluster_id", "field", "source").agg(F.max_by(F.struct("value", "p"), F.struct("p", "value")).alias("b"))
-    # at most one entry per source and item: bounded by the number of feeds
-    items = best.groupBy("cluster_id", "field").agg(F.array_sort(F.collect_list(F.struct("source", "b"))).alias("s")).where(F.size("s") > 1)
-    pairs = items.select(F.explode("s").alias("x"), "s").select("x", F.explode("s").alias("y")).where("x.source < y.source")
-    same = F.col("x.b.value") == F.col("y.b.value")
-    counts = pairs.groupBy(F.col("x.source").alias("a"), F.col("y.source").alias("b")).agg(F.count_if(same & (F.col("x.b.p") > 0.5)).alias("t"), F.count_if(same & (F.col("x.b.p") <= 0.5)).alias("f"), F.count_if(~same).alias("d"))
-    out = {}
-    for r in counts.collect():  # one row per pair of feeds
-        a, b = acc[r.a], acc[r.b]
-        pt, pf = a * b, (1 - a) * (1 - b) / n_false
-        mean = (a + b) / 2
-        qt, qf = copying * mean + (1 - copying) * pt, copying * (1 - mean) + (1 - copying) * pf
-        logs = r.t * math.log(pt / qt) + r.f * math.log(pf / qf) + r.d * math.log((1 - pt - pf) / ((1 - copying) * (1 - pt - pf)))
-        out[r.a, r.b] = out[r.b, r.a] = 1 / (1 + (1 - prior) / prior * math.exp(min(50.0, max(-50.0, logs))))
-    return out
-
-
-def fuse(claims: DataFrame, rounds: int = 4, copying: float = 0.8, prior: float = 0.1, n_false: float = 20.0, tolerance: float = 0.01):
+@dataclass
+class Model:
+    """Accuracy per source, P(one copies the other) per pair, and how the estimation ended."""
+
+    accuracy: dict[str, float]
+    dependence: dict[tuple[str, str], float] = field(default_factory=dict)
+    copying: float = 0.8
+    n_false: float = 20.0
+    rounds: int = 0
+    converged: bool = False
+
+    def __getitem__(self, name: str):
+        return getattr(self, name)
+
+    def votes(self, by: list[str]) -> float:
+        """Log score of a value: each source's vote, less what it may have copied from a better one."""
+        total, above = 0.0, []
+        for s in sorted(by, key=lambda s: (-self.accuracy[s], s)):
+            own = math.prod(1 - self.copying * self.dependence.get((s, t), 0.0) for t in above)
+            total += own * math.log(self.n_false * self.accuracy[s] / (1 - self.accuracy[s]))
+            above.append(s)
+        return total
+
+
+def posteriors(scores: list[float], counts: list[int], n_false: float) -> list[float]:
+    """P(value) for values of these scores (``counts`` values each); what none of the
+    n_false + 1 possible values has claimed keeps its share."""
+    top = max([*scores, 0.0])
+    free = max(0.0, n_false + 1 - sum(counts)) * math.exp(-top)
+    z = free + sum(m * math.exp(s - top) for s, m in zip(scores, counts))
+    return [math.exp(s - top) / z for s in scores]
+
+
+def _evidence(model: Model):
+    """Per batch of patterns the sums a round needs: of a source its expected true claims
+    and its claims; of a pair how often it agrees on true, on false values, or differs."""
+
+    def run(batches):
+        acc: dict[str, list[float]] = {}
+        pair: dict[tuple[str, str], list[float]] = {}
+        for pdf in batches:
+            for pattern, c in zip(pdf.pattern, pdf.c):
+                by = [list(e["by"]) for e in pattern]
+                n = [int(e["m"]) for e in pattern]
+                p = posteriors([model.votes(b) for b in by], n, model.n_false)
+                best: dict[str, int] = {}
+                for i, b in enumerate(by):
+                    for s in b:
+                        x = acc.setdefault(s, [0.0, 0.0])
+                        x[0] += c * n[i] * p[i]
+                        x[1] += c * n[i]
+                        if s not in best or p[i] > p[best[s]]:
+                            best[s] = i
+                said = sorted(best)
+                for i, a in enumerate(said):
+                    for b in said[i + 1 :]:
+                        x = pair.setdefault((a, b), [0.0, 0.0, 0.0])
+                        x[2 if best[a] != best[b] else 0 if p[best[a]] > 0.5 else 1] += c
+        rows = [(a, None, *v, 0.0) for a, v in acc.items()] + [(a, b, *v) for (a, b), v in pair.items()]
+        yield pd.DataFrame(rows, columns=["a", "b", "x", "y", "z"])
+
+    return run
+
+
+def _copies(a: float, b: float, true: float, false: float, differ: float, copying: float, prior: float, n_false: float) -> float:
+    """P(one of two sources of these accuracies copies the other), from how they agree."""
+    pt, pf, mean = a * b, (1 - a) * (1 - b) / n_false, (a + b) / 2
+    qt, qf = copying * mean + (1 - copying) * pt, copying * (1 - mean) + (1 - copying) * pf
+    logs = true * math.log(pt / qt) + false * math.log(pf / qf) - differ * math.log(1 - copying)
+    return 1 / (1 + (1 - prior) / prior * math.exp(min(50.0, max(-50.0, logs))))
+
+
+def estimate(patterns: DataFrame, copying: float = 0.8, prior: float = 0.1, n_false: float = 20.0, tolerance: float = 0.001, rounds: int = 200) -> Model:
+    """The model of maximum agreement with the patterns (pattern: array of by, m; c: items).
+
+    Rounds go on until nothing moves by ``tolerance``; after the first ten each goes half
+    the way, so an estimate that swings comes to rest. ``converged`` says whether it did
+    within ``rounds``."""
+    model = Model({}, {}, copying, n_false)
+    names = [r.s for r in patterns.select(F.explode("pattern").alias("e")).select(F.explode("e.by").alias("s")).distinct().collect()]  # the feeds
+    model.accuracy = dict.fromkeys(names, 0.8)
+    # an item only one source speaks of says nothing of it
+    shared = cut(patterns.where("size(array_distinct(flatten(pattern.by))) > 1"))
+    while not model.converged and model.rounds < rounds:
+        sums = shared.mapInPandas(_evidence(model), "a string, b string, x double, y double, z double").groupBy("a", "b").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("z").alias("z")).collect()
+        acc = model.accuracy | {r.a: min(0.99, max(0.05, r.x / r.y)) for r in sums if r.b is None}
+        dep = {}
+        for r in sums:
+            if r.b is not None:
+                dep[r.a, r.b] = dep[r.b, r.a] = _copies(acc[r.a], acc[r.b], r.x, r.y, r.z, copying, prior, n_false)
+        step = 1.0 if model.rounds < 10 else 0.5
+        acc = {s: model.accuracy[s] + step * (v - model.accuracy[s]) for s, v in acc.items()}
+        dep = {k: (old := model.dependence.get(k, 0.0)) + step * (v - old) for k, v in dep.items()}
+        moved = max([abs(v - model.accuracy[s]) for s, v in acc.items()] + [abs(v - model.dependence.get(k, 0.0)) for k, v in dep.items()], default=0.0)
+        model.accuracy, model.dependence = acc, dep
+        model.rounds += 1
+        model.converged = moved < tolerance
+    return model
+
+
+def fuse(claims: DataFrame, **params) -> tuple[DataFrame, Model]:
     """Posterior of every claimed value. claims: cluster_id, row_id, source,
     last_seen_at, field, value, shown. Returns (values, model): values has
-    cluster_id, field, value, p, shown; model the accuracies and dependences.
-
-    A null source is one source of its own. Ties keep the later, then the smaller value."""
-    votes = cut(
-        claims.groupBy("cluster_id", "field", "value", F.coalesce("source", F.lit("")).alias("source")).agg(
-            F.count("*").alias("n"), F.max("last_seen_at").alias("seen"), F.max_by("shown", F.struct("last_seen_at", "shown")).alias("shown")
-        )
-    )
-    names = sorted(r.source for r in votes.select("source").distinct().collect())  # the feeds
-    acc, dep, values = dict.fromkeys(names, 0.8), {}, None
-    for _ in range(rounds):
-        w = F.create_map(*[F.lit(x) for s in names for x in (s, math.log(n_false * acc[s] / (1 - acc[s])))]) if names else F.create_map(F.lit(""), F.lit(0.0))
-        order = F.array_sort(F.collect_list(F.struct((-w[F.col("source")]).alias("o"), "source", "n")))
-        g = votes.groupBy("cluster_id", "field", "value").agg(order.alias("by"), F.max("seen").alias("seen"), F.max_by("shown", F.struct("seen", "shown")).alias("shown"))
-        if dep:
-            dm = F.create_map(*[F.lit(x) for (a, b), p in dep.items() for x in (f"{a}\x1f{b}", p)])
-            own = lambda x, i: F.aggregate(F.slice("by", F.lit(1), i), F.lit(1.0), lambda acc_, y: acc_ * (1 - copying * F.coalesce(dm[F.concat_ws("\x1f", x["source"], y["source"])], F.lit(0.0))))
-            share = F.transform("by", lambda x, i: -x["o"] * own(x, i) * (1 + F.log(x["n"].cast("double"))))
-        else:
-            share = F.transform("by", lambda x: -x["o"] * (1 + F.log(x["n"].cast("double"))))
-        g = g.select("cluster_id", "field", "value", "seen", "shown", F.aggregate(share, F.lit(0.0), lambda a, x: a + x).alias("score"))
-        total = g.groupBy("cluster_id", "field").agg(F.max("score").alias("top"), F.count("*").alias("k"), F.sum(F.exp(F.col("score") - 60)).alias("z0"))
-        # scores are sums of a few log ratios; the reference point 60 keeps exp within a double for any of them
-        values = g.join(total, ["cluster_id", "field"]).select("cluster_id", "field", "value", "seen", "shown", F.when(F.col("k") == 1, F.lit(1.0)).otherwise(F.exp(F.col("score") - 60) / F.col("z0")).alias("p"))
-        scored = votes.select("cluster_id", "field", "value", "source", "n").join(values.select("cluster_id", "field", "value", "p"), ["cluster_id", "field", "value"])
-        # values nobody else speaks about say nothing about a source
-        new = {r.source: r.a for r in scored.join(total.where("k > 1").select("cluster_id", "field"), ["cluster_id", "field"], "left_semi").groupBy("source").agg(F.avg("p").alias("a")).collect()}
-        new = {s: min(0.99, max(0.05, new.get(s, acc[s]))) for s in names}
-        moved = max([abs(new[s] - acc[s]) for s in names], default=0)
-        acc = new
-        if moved < tolerance:
-            break
-        dep = _dependence(scored, acc, copying, prior, n_false)
-    return cut(values) if values is not None else None, {"accuracy": acc, "dependence": dep}
+    cluster_id, field, value, seen, shown, p.
+
+    A source that makes one claim in several records of a cluster has one vote. A
+    null source is one source of its own. Ties keep the later, then the smaller value."""
+    item = ["cluster_id", "field"]
+    feed = F.coalesce("source", F.lit(""))
+    # as many sources a value as there are feeds, at most
+    values = cut(claims.select("*", feed.alias("feed")).groupBy(*item, "value").agg(F.array_sort(F.collect_set("feed")).alias("by"), F.max("last_seen_at").alias("seen"), F.max_by("shown", F.struct("last_seen_at", "shown")).alias("shown")))
+    sets = values.groupBy(*item, "by").agg(F.count("*").alias("m")).groupBy(*item).agg(F.array_sort(F.collect_list(F.struct("by", "m"))).alias("pattern"))
+    patterns = cut(sets.groupBy("pattern").agg(F.count("*").alias("c")))
+    model = estimate(patterns, **params)
+
+    def votes(batches):
+        for pdf in batches:
+            pdf["score"] = [model.votes(list(b)) for b in pdf.by]
+            yield pdf
+
+    score = cut(values.select("by").distinct().mapInPandas(votes, "by array<string>, score double"))
+    w = Window.partitionBy(*item)
+    top = F.greatest(F.max("score").over(w), F.lit(0.0))
+    e = values.join(score, "by").select(*item, "value", "seen", "shown", "score", top.alias("top"))
+    e = e.withColumn("e", F.exp(F.col("score") - F.col("top")))
+    free = F.greatest(F.lit(0.0), model.n_false + 1 - F.count("*").over(w)) * F.exp(-F.col("top"))
+    return cut(e.select(*item, "value", "seen", "shown", (F.col("e") / (F.sum("e").over(w) + free)).alias("p")), values, patterns), model
 
 
 def resolve(golden: DataFrame, records: DataFrame, **params) -> tuple[DataFrame, DataFrame]:

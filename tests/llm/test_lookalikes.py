@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from tessera.llm import lookalikes as L
 
 SAME = [
@@ -30,3 +32,18 @@ def test_pairs(spark):
 def test_column(spark):
     df = spark.createDataFrame([("Ａ",), (None,)], "t string")
     assert [r.c for r in df.select(L.common_form_of("t").alias("c")).collect()] == ["a", None]
+
+
+def test_ascii_form_agrees_with_python(spark):
+    vs = ["Plain Text", "a\tb \r\n c  \n", "\n x \n", "tab\t", "A\x0bB\x0cC", "  ", "", "x   \ny", "\rq", "I [] {} ^ ~"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vs)], "i int, v string")
+    got = {r.i: r.c for r in df.select("i", L.ascii_common(F.col("v")).alias("c")).collect()}
+    assert [got[i] for i in range(len(vs))] == [L.common_form(v) for v in vs]
+
+
+def test_links_of_classes(spark):
+    rows = [(1, "Score x"), (2, "Sсоre x"), (4, "Score x"), (8, "Sсоre x"), (9, "Sсore x"), (10, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.links for r in L.same_look(df).collect()}
+    assert got == {1: 3, 4: 3, 2: 3, 8: 3, 9: 4}
+    assert L.look_pairs(df).count() == sum(got.values()) // 2

@@ -3,6 +3,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.llm import batches, linkage, people
 
 T = [dt.datetime(2025, 1, 1) + dt.timedelta(days=i) for i in range(30)]
@@ -16,6 +17,7 @@ ROWS = [
     (7, "loyalty_cards", {"surname": "Meyer", "given": "Ann", "birth": 19510909, "phone_no": "0000000000"}),  # a namesake
     (8, "crm_contacts", {"first_name": "Ann", "last_name": "Meyer", "email": "n/a", "phone": "5551234567", "birth_date": "1980-05-02"}),  # day and month swapped
     (12, "loyalty_cards", {"surname": "Meyer", "given": "Bertha", "birth": 19800205, "phone_no": "5551234567", "addr_line": "12 Long St, Rome, 12345"}),  # a twin
+    (13, "paper_forms", {"applicant": "Zoe Quint", "birthdate": "24/12/1950"}),  # shows that this feed writes the day first
     (9, "partner_feed", None),
     (10, "partner_feed", {}),
 ]
@@ -85,20 +87,80 @@ def test_turned_away(spark):
     assert batches.turned_away(df.limit(0)).count() == 0
 
 
-def test_gate_agrees_with_the_whole(spark):
+def gate_rows(spark):
     names = [("Anna", "Meyer"), ("Boris", "Kowal"), ("Carla", "Dunst"), ("Dora", "Elmsworth")]
     rows = []
-    for i in range(48):
+    for i in range(60):
         f, n = names[i % 4]
         n = n if i % 7 else n[:-1] + n[-1] * 2
         rows.append((i, "crm_contacts", json.dumps({"first_name": f, "last_name": n, "email": f"{f}@x.example", "birth_date": "1980-02-0" + str(1 + i % 4)}), T[i // 4]))
-    df = spark.createDataFrame(rows, "row_id long, source string, payload string, first_seen_at timestamp")
-    whole = {r.row_id for r in batches.turned_away(df).collect()}
-    gate = batches.Gate(spark)
-    got = set()
-    for lo, hi in ((0, 5), (5, 12)):
-        got |= {r.row_id for r in gate.screen(df.where((F.col("first_seen_at") >= T[lo]) & (F.col("first_seen_at") < T[hi]))).collect()}
-    assert got == whole and len(whole) == 44
+    # two profiles of one person that share nothing but the name, until a third shows both contacts
+    p = {"first_name": "Eva", "last_name": "Falkner", "birth_date": "1970-01-01"}
+    late = [(100, p | {"email": "eva@x.example"}, 1), (101, p | {"last_name": "Falkners", "birth_date": "1970-01-31", "phone": "5557654321"}, 3), (102, {"first_name": "Eva", "last_name": "Falkner", "birth_date": "1970-01-31", "email": "eva@x.example", "phone": "5557654321"}, 9)]
+    rows += [(i, "crm_contacts", json.dumps(q), T[t]) for i, q, t in late]
+    return spark.createDataFrame(rows, "row_id long, source string, payload string, first_seen_at timestamp")
+
+
+def test_gate_over_batches_and_restarts(spark):
+    """Every batch by a gate opened anew on the folder: the same answer as all at once."""
+    df = gate_rows(spark)
+    whole = {r.row_id for r in batches.turned_away(df, daily=0).collect()}
+    assert len(whole) == 58 and 101 in whole
+    home = session.new_path(spark, "gate")
+    got, late = set(), set()
+    for lo, hi in ((0, 3), (3, 4), (4, 5), (5, 15)):
+        out = batches.Gate(spark, home).screen(df.where((F.col("first_seen_at") >= T[lo]) & (F.col("first_seen_at") < T[hi]))).collect()
+        got |= {r.row_id for r in out}
+        late |= {r.row_id for r in out if r.late}
+        assert {r.source for r in out} <= {"crm_contacts"}
+    assert got == whole
+    assert late == {101}  # known to be a repeat only when 102 came
+    gate = batches.Gate(spark, home)
+    assert gate.batches == 4
+    nodes = gate.read("nodes", batches.NODES)
+    assert nodes.count() == nodes.select("node").distinct().count()
+    # a run that died before its commit leaves nothing behind that counts
+    gate._fs.delete(gate._path(f"{home}/commit/3"), True)
+    again = batches.Gate(spark, home)
+    assert again.batches == 3
+    assert {r.row_id for r in again.screen(df.where(F.col("first_seen_at") >= T[5])).collect()} == {r.row_id for r in out}
+
+
+def test_gate_reads_what_it_hits(spark):
+    home = session.new_path(spark, "gate")
+    batches.Gate(spark, home).screen(gate_rows(spark))
+    gate = batches.Gate(spark, home)
+    hit = spark.createDataFrame([(3,), (5,)], "r int")
+    assert {r.r for r in gate.read("segments", batches.SEGMENTS, hit).select("r").distinct().collect()} <= {3, 5}
+    assert gate.read("segments", batches.SEGMENTS, hit.limit(0)).count() == 0
+
+
+def test_dates_by_feed(spark):
+    """The order of day and month is read off each feed's own dates."""
+    rows = [(1, "a", "25/12/1980"), (2, "a", "05/02/1980"), (3, "b", "12/25/1980"), (4, "b", "05/02/1980"), (5, "c", "05/02/1980"), (6, None, "30/01/1980"), (7, None, "05/02/1980")]
+    df = spark.createDataFrame([(i, s, json.dumps({"name": "Ann Lee", "dob": d})) for i, s, d in rows], "row_id long, source string, payload string")
+    got = {r.row_id: r.dob for r in people.profiles(df, "row_id", "source").collect()}
+    assert got == {1: "19801225", 2: "19800205", 3: "19801225", 4: "19800502", 5: "19800502", 6: "19800130", 7: "19800205"}
+
+
+def test_entities_are_linear(spark):
+    links, members = linkage.entities(records(spark))
+    m = {r.row_id: r.entity for r in members.collect()}
+    assert {i for i, e in m.items() if e == m[1]} == {1, 2, 3, 4, 5, 8, 11}
+    assert all(0 < r.confidence < 1 and r.node_a < r.node_b for r in links.collect())
+
+
+def test_strangers_at_one_mailbox(spark):
+    """Misspelt and slipped records meet whatever the number of others at their mailbox."""
+    people_ = [("Mabelina", "Ketovarin"), ("Marcusto", "Kelborne"), ("Maximilda", "Kesterling"), ("Madoka", "Kepplinger"), ("Martinho", "Kenworthy")]
+    for others in (10, 90):
+        rows = []
+        for i, (f, n) in enumerate(people_):
+            rows += [(2 * i, "crm_contacts", json.dumps({"first_name": f, "last_name": n, "email": "desk@x.example", "birth_date": f"19{50 + 3 * i}-03-07"})),
+                     (2 * i + 1, "partner_feed", json.dumps({"FNAME": f, "LNAME": n[:-1], "EMAIL1": "desk@x.example", "DOB": f"19{50 + 3 * i}-03-17"}))]
+        rows += [(100 + j, "crm_contacts", json.dumps({"first_name": "Ma" + chr(97 + j % 26) * 3 + chr(97 + j // 26) * 4, "last_name": "Ke" + chr(97 + j // 26) * 4 + chr(97 + j % 26) * 3, "email": "desk@x.example", "birth_date": f"{1900 + j % 40}-{1 + j % 12:02}-{11 + j % 17}"})) for j in range(others)]
+        got = {tuple(r) for r in linkage.matched_pairs(spark.createDataFrame(rows, "row_id long, source string, payload string")).collect()}
+        assert got == {(2 * i, 2 * i + 1) for i in range(5)}, others
 
 
 def test_segments_meet_within_the_bound(spark):
@@ -117,9 +179,10 @@ def test_segments_meet_within_the_bound(spark):
     for bound in (1, 2):
         texts = list({edit(b, rng.randrange(bound + 1)) for b in ("abcabcab", "ccbbaaccb", "abab", "bcbcbcbcbcbcb") for _ in range(12)} - {""})
         df = spark.createDataFrame([(i, 1, 5, 1, t, bound) for i, t in enumerate(texts)], "node long, bit int, scope long, kind int, text string, bound int")
-        keys = {}
-        for r in batches.segment_rows(df).collect():
-            keys.setdefault(r.node, set()).add(r.k)
+        own, asked = {}, {}
+        for of, to in ((batches.stored, own), (batches.probes, asked)):
+            for r in of(df).collect():
+                to.setdefault(r.node, set()).add(r.k)
 
         def dist(a, b):
             row = list(range(len(b) + 1))
@@ -130,4 +193,4 @@ def test_segments_meet_within_the_bound(spark):
             return row[-1]
 
         near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if dist(texts[i], texts[j]) <= bound]
-        assert near and all(keys[i] & keys[j] for i, j in near)
+        assert near and all(own[i] & asked[j] and own[j] & asked[i] for i, j in near)

@@ -44,6 +44,39 @@ def test_copied_votes_are_discounted(spark):
         if r.p > top.get(r.cluster_id, (0, ""))[0]:
             top[r.cluster_id] = (r.p, r.value)
     assert sum(v == f"v{c}" for c, (_, v) in top.items()) >= 58
+    assert model.converged and all(0 < r.p < 1 for r in values.collect())
+    by = {}
+    for r in values.collect():
+        by[r.cluster_id] = by.get(r.cluster_id, 0) + r.p
+    assert max(by.values()) < 1  # values nobody claims keep their share
+
+
+def test_copied_errors_do_not_outvote(spark):
+    """Two copies of one wrong source against one independent source: the single vote wins where it is right."""
+    rows = []
+    for c in range(200):
+        t, w = f"t{c}", f"w{c}"
+        says = {"good": t, "fair": t if c % 4 != 1 else f"u{c}", "bad": w if c % 3 == 0 else t, "copy": w if c % 3 == 0 else t}
+        rows += [(c, i, s, T[0], "f", v, v) for i, (s, v) in enumerate(says.items())]
+    claims = spark.createDataFrame(rows, "cluster_id long, row_id long, source string, last_seen_at timestamp, field string, value string, shown string")
+    values, model = S.fuse(claims)
+    assert model.dependence["bad", "copy"] > 0.9 and model.accuracy["good"] > 0.9
+    best = {}
+    for r in values.collect():
+        if r.p > best.get(r.cluster_id, (0, ""))[0]:
+            best[r.cluster_id] = (r.p, r.value)
+    assert sum(v == f"t{c}" for c, (_, v) in best.items()) >= 196
+
+
+def test_posteriors_by_hand():
+    import math
+
+    # one source of accuracy 0.8 and 20 false values: its lone claim is right with 0.8
+    s = math.log(20 * 0.8 / 0.2)
+    assert abs(S.posteriors([s], [1], 20)[0] - 0.8) < 1e-9
+    a, b = S.posteriors([s, s], [1, 1], 20)
+    assert abs(a - b) < 1e-12 and abs(a - 80 / (160 + 19)) < 1e-9
+    assert S.posteriors([900.0], [1], 20) == [1.0]
 
 
 def test_empty(spark):

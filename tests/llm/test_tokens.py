@@ -27,11 +27,13 @@ def test_against_reference_encoder(spark):
     assert n == {i: len(v) for i, v in got.items()}
 
 
-def test_forgetting_words_changes_nothing(spark, monkeypatch):
-    df = spark.createDataFrame([(i, f"word{i % 7} again and again {i}") for i in range(50)], "doc_id long, text string").repartition(1)
+def test_slices_and_ranges_change_nothing(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"word{i % 7} again and again {i}" if i % 9 else None) for i in range(50)], "doc_id long, text string").repartition(2)
     a = {r.doc_id: r.ids for r in tokens.encode(df).collect()}
-    monkeypatch.setattr(tokens, "REMEMBER", 3)
+    monkeypatch.setattr(tokens, "SLICE", 60)
+    monkeypatch.setattr(tokens, "WORDS", 5)
     assert a == {r.doc_id: r.ids for r in tokens.encode(df).collect()}
+    assert {k: len(v) for k, v in a.items()} == {r.doc_id: r.tokens for r in tokens.token_counts(df).collect()}
 
 
 def test_empty_table(spark):
