@@ -39,10 +39,37 @@ def chained(c: str, ts: list[str]) -> Column:
     return reduce(apply, ts, F.col(c).cast("string"))
 
 
-def pairs_of(keys: DataFrame) -> DataFrame:
-    """keys: id, k. Distinct pairs a < b of rows that share a key."""
-    a, b = keys.select(F.col("id").alias("a"), "k"), keys.select(F.col("id").alias("b"), "k")
-    return a.join(b, "k").where("a < b").select("a", "b").distinct()
+#: Rows of a key that meet in one group; more are cut into parts of about this size.
+PART = 2000
+
+
+def parts_of(rows: DataFrame, key: list[str], by: str, part: int = PART) -> DataFrame:
+    """``rows`` with __n, the number of parts their key is cut into, and __own, the part of the row.
+    Only keys of more than ``part`` rows are cut; those (rows / part at most) are all that is joined."""
+    hot = rows.groupBy(*[F.col(k).alias(f"__h{i}") for i, k in enumerate(key)]).agg(F.count("*").alias("__c")).where(F.col("__c") > part)
+    cond = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__h{i}")) for i, k in enumerate(key)])
+    x = rows.join(hot, cond, "left").select(*rows.columns, F.coalesce(F.ceil(F.col("__c") / part), F.lit(1)).cast("int").alias("__n"))
+    return x.withColumn("__own", F.pmod(F.xxhash64(by), F.col("__n")).cast("int"))
+
+
+def meetings(rows: DataFrame, key: list[str], by: str, part: int = PART) -> DataFrame:
+    """Ordered pairs of rows of equal key as structs x, y, ``x.by < y.by``.
+
+    A hot key is cut into parts and every two parts meet in a group of their own,
+    so no group holds more than ``part`` rows a side, and no pair is lost."""
+    s = parts_of(rows, key, by, part)
+    other = F.explode(F.sequence(F.lit(0), F.col("__n") - 1))
+    cols = F.struct(*rows.columns)
+    x = s.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], cols.alias("x"), F.col("__own").alias("__i"), other.alias("__j"))
+    y = s.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], cols.alias("y"), F.col("__own").alias("__j"), other.alias("__i"))
+    on = [*[f"__k{i}" for i in range(len(key))], "__i", "__j"]
+    return x.join(y, on).where(F.col(f"x.{by}") < F.col(f"y.{by}")).select("x", "y")
+
+
+def pairs_of(keys: DataFrame, part: int = PART) -> DataFrame:
+    """keys: id, k. Distinct pairs a < b of rows that share a key; null keys meet nothing."""
+    m = meetings(keys.select("id", "k").where("k is not null"), ["k"], "id", part)
+    return m.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def block_sizes(keys: DataFrame) -> DataFrame:

@@ -37,10 +37,13 @@ def settings(spark: SparkSession, conf: dict[str, str]):
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. ``spark.checkpoint.dir`` names it on a
-    cluster; only where that is unset (tests, local mode) a local folder is made."""
+    cluster; only where that is unset in local mode a local folder is made: on a
+    cluster its executors could not read each other's files, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     path = "file://" + os.path.join(tempfile.gettempdir(), f"tessera-{os.getpid()}")
     spark.conf.set("spark.checkpoint.dir", path)
     return path
