@@ -26,10 +26,11 @@ from pyspark.sql import functions as F
 from tessera.llm import linkage as L
 from tessera.llm import people as P
 from tessera.operators.blocking import parts_of
-from tessera.session import cut, forget, new_path
+from tessera.session import cut, forget, new_path, parallelism
 
-#: Ranges of the index; a table holds one folder per batch and range.
-RANGES = 64
+#: Ranges of the index; a table holds one folder per batch and range. The more there
+#: are, the less of the history a small batch reads.
+RANGES = 16
 
 
 def scopes(profiles: DataFrame) -> DataFrame:
@@ -93,19 +94,21 @@ def _probes(bound: int) -> Column:
     return F.array_compact(F.array(*keys))
 
 
-def _keyed(s: DataFrame, of) -> DataFrame:
-    by = F.when(F.col("bound") == 0, of(0)).when(F.col("bound") == 1, of(1)).otherwise(of(2))
+def _keyed(s: DataFrame, of, bounds: tuple[int, ...]) -> DataFrame:
+    by = of(bounds[-1])
+    for b in bounds[:-1]:
+        by = F.when(F.col("bound") == b, of(b)).otherwise(by)
     return s.select("node", "bit", F.explode(by).alias("k"))
 
 
-def stored(s: DataFrame) -> DataFrame:
-    """node, bit, k: the segments of every string."""
-    return _keyed(s, _own)
+def stored(s: DataFrame, bounds: tuple[int, ...] = (0, 1)) -> DataFrame:
+    """node, bit, k: the segments of every string; ``bounds`` are those that occur."""
+    return _keyed(s, _own, bounds)
 
 
-def probes(s: DataFrame) -> DataFrame:
+def probes(s: DataFrame, bounds: tuple[int, ...] = (0, 1)) -> DataFrame:
     """node, bit, k: the substrings to look up for every string."""
-    return _keyed(s, _probes)
+    return _keyed(s, _probes, bounds)
 
 
 def verified(edges: DataFrame) -> DataFrame:
@@ -172,7 +175,7 @@ class Gate:
         """What the committed batches hold of a table, in the ranges of ``hit`` (a column r)."""
         paths = [p for n in range(self.batches) if self._exists(p := f"{self.home}/{kind}/batch={n}")]
         if not paths:
-            return self.spark.createDataFrame([], schema + ", batch int")
+            return self._none(schema + ", batch int")
         df = self.spark.read.schema(schema + ", batch int").option("basePath", f"{self.home}/{kind}").parquet(*paths)
         if hit is None:
             return df
@@ -181,10 +184,17 @@ class Gate:
 
     def _latest(self, kind: str, schema: str) -> DataFrame:
         """A table that every batch writes anew, in full."""
-        return self.spark.read.schema(schema).parquet(f"{self.home}/{kind}/{self.batches - 1}") if self.batches else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.home}/{kind}/{self.batches - 1}") if self.batches else self._none(schema)
+
+    def _none(self, schema: str) -> DataFrame:
+        """No rows, in a form the optimiser sees, so that joins with it cost nothing."""
+        return self.spark.sql("select " + ", ".join(f"cast(null as {t}) as `{c}`" for c, t in (f.split() for f in schema.split(", "))) + " where false")
 
     def _write(self, kind: str, df: DataFrame) -> None:
-        df.hint("rebalance", "r").write.mode("overwrite").partitionBy("r").parquet(f"{self.home}/{kind}/batch={self.batches}")
+        n = parallelism(self.spark)
+        # a range is written by several tasks where there are more tasks than ranges
+        part = F.pmod(F.xxhash64(df.columns[0]), F.lit(max(1, n // RANGES)))
+        df.repartition(n, "r", part).write.mode("overwrite").partitionBy("r").parquet(f"{self.home}/{kind}/batch={self.batches}")
 
     def screen(self, batch: DataFrame) -> DataFrame:
         """row_id, source, first_seen_at, entity, late of the records to turn away.
@@ -195,7 +205,13 @@ class Gate:
         shows that two entities are one, the older record that is now a repeat
         comes out too, ``late``. Repeated rows count once; records of which nothing
         is known (null or empty payload) are never turned away."""
-        rec, dates = P.profiles_and_dates(batch, "row_id", "source", "first_seen_at", fields=self.fields, stand_ins=self.stand_ins, before=self._latest("dates", DATES))
+        return self.screen_profiles(*self.parse(batch))
+
+    def parse(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return P.profiles_and_dates(batch, "row_id", "source", "first_seen_at", fields=self.fields, stand_ins=self.stand_ins, before=self._latest("dates", DATES))
+
+    def screen_profiles(self, rec: DataFrame, dates: DataFrame) -> DataFrame:
+        """:meth:`screen` of a batch that is parsed already."""
         rec = rec.where(P.known()).select("*", *P.identity("source"))
         who = cut(rec.groupBy("h1", "h2").agg(F.min("row_id").alias("node"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.first("dob").alias("dob")).withColumn("r", _range("h1")))
         was = self.read("who", WHO, who).select("h1", "h2", F.col("node").alias("was"))
@@ -223,7 +239,7 @@ class Gate:
         firsts = self.read("firsts", FIRSTS, met).join(met.select("entity"), "entity", "left_semi")
         firsts = cut(firsts.groupBy("entity").agg(F.max_by(F.struct("dated", "first_seen_at", "first_row"), "batch").alias("f")).select("entity", "f.*"))
         ent = L.clusters(self._as_entities(scored, before, firsts))
-        step = self.spark.createDataFrame([], "vertex long, group long") if ent is None else cut(ent)
+        step = self._none("vertex long, group long") if ent is None else cut(ent)
         label = before.select("node", F.col("entity").alias("vertex"), F.lit(False).alias("fresh")).unionByName(fresh.select("node", F.col("node").alias("vertex"), F.lit(True).alias("fresh")))
         label = cut(label.join(step, "vertex", "left").select("node", F.coalesce("group", "vertex").alias("entity"), "fresh"))
         # the first record of every entity, old ones under the name they have now
@@ -268,11 +284,10 @@ def turned_away(records: DataFrame, daily: int = 1, home: str | None = None, **p
     of first_seen_at is taken into the index as one backfill, then each of those days
     as a batch of its own. The answer does not depend on ``daily``."""
     gate = Gate(records.sparkSession, home, **params)
+    rec, dates = gate.parse(records)
     day = F.to_date("first_seen_at")
-    last = [r.d for r in records.select(day.alias("d")).where("d is not null").distinct().orderBy(F.desc("d")).limit(daily).collect()]
-    if not last:
-        return gate.screen(records).drop("late")
-    out = gate.screen(records.where(day.isNull() | (day < F.lit(min(last)))))
+    last = [r.d for r in rec.select(day.alias("d")).where("d is not null").distinct().orderBy(F.desc("d")).limit(daily).collect()] if daily else []
+    out = gate.screen_profiles(rec.where(day.isNull() | (day < F.lit(min(last)))) if last else rec, dates)
     for d in sorted(last):
-        out = out.unionByName(gate.screen(records.where(day == F.lit(d))))
-    return out.drop("late").groupBy("row_id").agg(F.max("source").alias("source"), F.first("first_seen_at").alias("first_seen_at"), F.max_by("entity", "source").alias("entity"))
+        out = out.unionByName(gate.screen_profiles(rec.where(day == F.lit(d)), dates))
+    return out.groupBy("row_id").agg(F.max("source").alias("source"), F.first("first_seen_at").alias("first_seen_at"), F.max("entity").alias("entity"))

@@ -181,7 +181,7 @@ def test_segments_meet_within_the_bound(spark):
         df = spark.createDataFrame([(i, 1, 5, 1, t, bound) for i, t in enumerate(texts)], "node long, bit int, scope long, kind int, text string, bound int")
         own, asked = {}, {}
         for of, to in ((batches.stored, own), (batches.probes, asked)):
-            for r in of(df).collect():
+            for r in of(df, (1, 2)).collect():
                 to.setdefault(r.node, set()).add(r.k)
 
         def dist(a, b):
