@@ -6,6 +6,8 @@ projection of built-in expressions."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +33,74 @@ def minhash(sh: Column, num_perms: int = 64) -> Column:
     return sig[0]
 
 
+_MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that scatters them (splitmix64)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_hashes(text: str, k: int, mode: str, words: dict[str, int]) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles of a text of words parted by blanks (or of
+    characters); a shorter text is one shingle. ``words`` keeps the hashes of words."""
+    if mode == "char":
+        u = _mix(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1))
+    else:
+        found = []
+        for w in text.split(" "):
+            h = words.get(w)
+            if h is None:
+                h = words[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+            found.append(h)
+        u = np.array(found, np.uint64)
+    n = max(1, len(u) - k + 1)
+    h = np.full(n, np.uint64(min(len(u), k)), np.uint64)
+    for i in range(min(k, len(u))):
+        h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + u[i : i + n])
+    return np.unique(h)
+
+
+def minhash_batches(k: int, mode: str, num_perms: int, num_bands: int, seed: int = 7, chunk: int = 8192, remember: int = 200_000):
+    """Arrow batches (rep, t) to (rep, n, hashes, keys): the distinct shingle hashes and the
+    band keys of their MinHash signature, whole columns of numbers at a time."""
+    rng = np.random.default_rng(seed)
+    a = rng.integers(0, 2**63, num_perms, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 2**63, num_perms, dtype=np.int64).astype(np.uint64)
+    rows = num_perms // num_bands
+
+    def run(batches):
+        import pyarrow as pa
+
+        words: dict[str, int] = {}
+        for batch in batches:
+            hashes, keys = [], []
+            with np.errstate(over="ignore"):
+                for t in batch.column(1).to_pylist():
+                    if len(words) > remember:
+                        words.clear()
+                    h = shingle_hashes(t, k, mode, words)
+                    sig = np.full(num_perms, _MASK)
+                    for i in range(0, len(h), chunk):
+                        sig = np.minimum(sig, (h[i : i + chunk, None] * a + b).min(axis=0))
+                    key = np.arange(num_bands, dtype=np.uint64)
+                    for r in range(rows):
+                        key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + sig[r::rows])
+                    hashes.append(h.view(np.int64))
+                    keys.append(key.view(np.int64))
+            ends = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int32)
+            flat = np.concatenate(hashes) if hashes else np.empty(0, np.int64)
+            kflat = np.concatenate(keys) if keys else np.empty(0, np.int64)
+            kends = (np.arange(len(keys) + 1) * num_bands).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(h) for h in hashes], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.ListArray.from_arrays(pa.array(kends), pa.array(kflat))], ["rep", "n", "hashes", "keys"]
+            )
+
+    return run
+
+
 def bands(signature: Column, num_bands: int, num_perms: int) -> Column:
     r = num_perms // num_bands
     return F.array(*[F.xxhash64(F.lit(b), F.slice(signature, b * r + 1, r)) for b in range(num_bands)])

@@ -108,10 +108,13 @@ def sorted_neighbourhood(df: DataFrame, id: str, key: Column, window: int = 5) -
     return x.join(y, "p").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
-def token_keys(df: DataFrame, id: str, column: str, min_length: int = 3, max_df: int | None = None, ratio: float = 0.01) -> DataFrame:
+def token_keys(df: DataFrame, id: str, column: str, min_length: int = 3, max_df: int | None = None, ratio: float = 0.01, exact: bool = False) -> DataFrame:
     """id, k: distinct lower-case tokens; tokens of one row, or of more than max_df
-    (default: 1 % of the rows, within 10 and 1000) rows, do not block."""
+    (default: 1 % of the rows, within 10 and 1000) rows, do not block. With ``exact``
+    frequent tokens block too (their rows meet in parts), and no pair is lost."""
     t = df.select(F.col(id).alias("id"), F.explode(F.array_distinct(F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= min_length))).alias("k"))
+    if exact:
+        return t
     freq = t.groupBy("k").agg(F.count("*").alias("df"))
     if max_df is None:
         cap = df.agg(F.least(F.greatest(F.floor(F.count("*") * ratio), F.lit(10)), F.lit(1000)).alias("cap"))
@@ -125,44 +128,43 @@ def token(df: DataFrame, id: str, column: str, **kw) -> DataFrame:
     return pairs_of(token_keys(df, id, column, **kw))
 
 
-def _similar_texts(df: DataFrame, id: str, column: str, k: int, num_perms: int, threshold: float, mode: str) -> tuple[DataFrame, DataFrame]:
+def similar_texts(df: DataFrame, id: str, column: str, k: int = 5, num_perms: int = 64, threshold: float = 0.8, mode: str = "word") -> tuple[DataFrame, DataFrame]:
     """(copies, pairs): every id with the least id of its text as ``rep``, and the pairs a < b of
-    such ids whose shingle sets have a Jaccard similarity of at least the threshold.
+    such ids with the Jaccard similarity of their shingle sets, if it is at least the threshold.
 
-    Bands are chosen for recall at the threshold; what they bring together is then compared exactly."""
+    Texts are compared by their lower-case words; null texts and texts without a word are
+    left out. Bands are chosen for recall at the threshold; what they bring together is then
+    compared exactly, by the 64-bit hashes of all shingles. A band many texts share meets in parts."""
     words = F.array_join(F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ")
-    x = df.select(F.col(id).alias("id"), (F.lower(column) if mode == "char" else words).alias("t")).where("t <> ''").withColumn("s", F.sha2("t", 256))
-    one = x.groupBy("s").agg(F.min("id").alias("rep"), F.first("t").alias("t"))
-    sh = sketches.shingles(F.col("t"), k, mode)
+    x = df.select(F.col(id).alias("id"), (F.lower(column) if mode == "char" else words).alias("t")).where("t <> ''").withColumn("s", F.unhex(F.md5("t")))
+    first = x.groupBy("s").agg(F.min("id").alias("rep"), F.first("t").alias("t"))
     b, _ = sketches.recall_bands(num_perms, threshold)
-    one = cut(one.select("s", "rep", "t", F.size(sh).alias("n"), sketches.bands(sketches.minhash(sh, num_perms), b, num_perms).alias("keys")))
-    copies = x.select("id", "s").join(one.select("s", "rep"), "s").select("id", "rep")
+    kind = dict(x.dtypes)["id"]
+    copies = cut(x.select("id", "s").join(x.groupBy("s").agg(F.min("id").alias("rep")), "s").select("id", "rep"))
+    one = cut(first.select("rep", "t").mapInArrow(sketches.minhash_batches(k, mode, num_perms, b), f"rep {kind}, n int, hashes array<bigint>, keys array<bigint>"))
     keys = one.select("rep", "n", F.posexplode("keys").alias("i", "k"))
-    p, q = (keys.select(F.col("rep").alias(y), F.col("n").alias(f"n{y}"), "i", "k") for y in "ab")
     # no pair is more similar than its sizes
-    near = p.join(q, ["i", "k"]).where(F.col("a") < F.col("b")).where(F.least("na", "nb") / F.greatest("na", "nb") >= threshold).select("a", "b").distinct()
-    p, q = (one.select(F.col("rep").alias(y), F.col("t").alias(f"t{y}")) for y in "ab")
-    sa, sb = sketches.shingles(F.col("ta"), k, mode), sketches.shingles(F.col("tb"), k, mode)
-    # the one-element array binds the two sets to a name
-    jaccard = F.transform(F.array(F.struct(sa.alias("x"), sb.alias("y"))), lambda v: F.size(F.array_intersect(v.x, v.y)) / F.size(F.array_union(v.x, v.y)))[0]
-    return copies, near.join(p, "a").join(q, "b").where(jaccard >= threshold).select("a", "b")
+    near = meetings(keys, ["i", "k"], "rep").where(F.least("x.n", "y.n") / F.greatest("x.n", "y.n") >= threshold).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    p, q = (one.select(F.col("rep").alias(y), F.col("hashes").alias(f"h{y}"), F.col("n").alias(f"n{y}")) for y in "ab")
+    both = F.size(F.array_intersect("ha", "hb"))
+    pairs = near.join(p, "a").join(q, "b").select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("jaccard"))
+    return copies, pairs.where(F.col("jaccard") >= threshold)
 
 
 def minhash(df: DataFrame, id: str, column: str, k: int = 5, num_perms: int = 64, threshold: float = 0.8, mode: str = "word") -> DataFrame:
     """Pairs whose shingle sets have a Jaccard similarity of at least the threshold; texts
     without a shingle do not block. Copies of one text give all their pairs: :func:`minhash_links` stays linear."""
-    copies, pairs = _similar_texts(df, id, column, k, num_perms, threshold, mode)
-    copies = cut(copies)
+    copies, pairs = similar_texts(df, id, column, k, num_perms, threshold, mode)
     c, e = copies.select(F.col("id").alias("y"), F.col("rep").alias("b")), copies.select(F.col("id").alias("x"), F.col("rep").alias("a"))
     across = pairs.join(e, "a").join(c, "b").select("x", "y")
-    within = e.join(c, F.col("a") == F.col("b")).where("x < y").select("x", "y")
+    within = meetings(copies, ["rep"], "id").select(F.col("x.id").alias("x"), F.col("y.id").alias("y"))
     return across.unionByName(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def minhash_links(df: DataFrame, id: str, column: str, k: int = 5, num_perms: int = 64, threshold: float = 0.8, mode: str = "word") -> DataFrame:
     """Pairs with the components of :func:`minhash`: copies of one text are joined to its least id only."""
-    copies, pairs = _similar_texts(df, id, column, k, num_perms, threshold, mode)
-    return pairs.unionByName(copies.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
+    copies, pairs = similar_texts(df, id, column, k, num_perms, threshold, mode)
+    return pairs.select("a", "b").unionByName(copies.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")))
 
 
 def simhash(df: DataFrame, id: str, column: str, dim: int, planes: int = 32, bands: int = 8) -> DataFrame:

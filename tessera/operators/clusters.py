@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import cut
@@ -66,6 +66,107 @@ def split_oversized(members: DataFrame, scored: DataFrame, max_size: int = 100,
             return done.unionByName(rest)
 
 
+def spanning_tree(scored: DataFrame) -> DataFrame:
+    """a, b, score of the maximum spanning forest: in every round each part takes its best
+    edge to another part (ties: the least pair), so parts at least halve in number."""
+    e = cut(dedup(scored))
+    lab = cut(e.select(F.explode(F.array("a", "b")).alias("v")).distinct().withColumn("c", F.col("v")))
+    tree = None
+    while True:
+        x = e.join(lab.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(lab.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b").where("ca <> cb")
+        ends = x.select(F.explode(F.array("ca", "cb")).alias("c"), "a", "b", "score", "ca", "cb")
+        # least of (-score, a, b) is the same edge seen from either part, so no cycle can form
+        best = ends.groupBy("c").agg(F.min(F.struct((-F.col("score")).alias("o"), "a", "b", "ca", "cb")).alias("m")).select("m.*").distinct()
+        best = cut(best)
+        if not best.take(1):
+            break
+        pick = best.select("a", "b", (-F.col("o")).alias("score"))
+        tree = pick if tree is None else tree.unionByName(pick)
+        up = components(best.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        lab = cut(lab.join(up, lab["c"] == up["member"], "left").select("v", F.coalesce("cluster_id", "c").alias("c")), lab)
+    return cut(tree) if tree is not None else scored.select("a", "b", "score").limit(0)
+
+
+def dedup(scored: DataFrame) -> DataFrame:
+    return scored.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("score"))
+
+
+def split_by_tree(members: DataFrame, scored: DataFrame, max_size: int = 100) -> DataFrame:
+    """member, cluster_id: a cluster of n members above ``max_size`` loses the
+    ceil(n / max_size) - 1 weakest edges of its maximum spanning tree - no fewer could
+    do -, and so does every part that is still too large, until all fit. All clusters are
+    cut at once; equal scores are ordered by a hash of the pair."""
+    size = members.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    marked = cut(members.join(size, "cluster_id"))
+    small, large = marked.where(f"n <= {max_size}").select("member", "cluster_id"), cut(marked.where(f"n > {max_size}").select("member", "cluster_id"))
+    inside = scored.join(large.select(F.col("member").alias("a")), "a", "left_semi").join(large.select(F.col("member").alias("b")), "b", "left_semi")
+    tree = cut(spanning_tree(inside))
+    while True:
+        size = large.groupBy("cluster_id").agg(F.count("*").alias("n")).where(f"n > {max_size}")
+        of = tree.join(large.select(F.col("member").alias("a"), "cluster_id"), "a").join(size, "cluster_id")
+        w = Window.partitionBy("cluster_id").orderBy("score", F.xxhash64("a", "b"))
+        weak = cut(of.withColumn("i", F.row_number().over(w)).where(F.col("i") < F.ceil(F.col("n") / max_size)).select("a", "b"))
+        if not weak.take(1):
+            return small.unionByName(large)
+        tree = cut(tree.join(weak, ["a", "b"], "left_anti"), tree, weak)
+        large = cut(components(tree, large.select("member")), large)
+
+
+def bridges(members: DataFrame, scored: DataFrame, below: float = 0.9) -> DataFrame:
+    """a, b, score, cluster_id of weak transitive bridges: links under ``below`` whose two ends
+    have no common neighbour, so nothing but the link itself holds them together."""
+    e = dedup(scored)
+    arcs = cut(e.select("a", F.col("b").alias("n")).unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("n"))))
+    weak = e.where(F.col("score") < below)
+    tri = weak.join(arcs.withColumnRenamed("n", "z"), "a").join(arcs.select(F.col("a").alias("b"), F.col("n").alias("z")), ["b", "z"]).select("a", "b").distinct()
+    return weak.join(tri, ["a", "b"], "left_anti").join(members.select(F.col("member").alias("a"), "cluster_id"), "a").select("a", "b", "score", "cluster_id")
+
+
+def split_bridges(members: DataFrame, scored: DataFrame, below: float = 0.9) -> DataFrame:
+    """member, cluster_id after the weak bridges are cut."""
+    rest = dedup(scored).join(bridges(members, scored, below).select("a", "b"), ["a", "b"], "left_anti")
+    return components(rest, members.select("member"))
+
+
+def evaluate(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """Pairwise and B-cubed precision, recall and f1 of two assignments (member, cluster_id)
+    over the members of both, from the sizes of the overlaps: no pair is made."""
+    o = predicted.select("member", F.col("cluster_id").alias("p")).join(truth.select("member", F.col("cluster_id").alias("t")), "member").groupBy("p", "t").agg(F.count("*").cast("double").alias("n"))
+    o = cut(o)
+    np_, nt = o.groupBy("p").agg(F.sum("n").alias("np")), o.groupBy("t").agg(F.sum("n").alias("nt"))
+    two = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    x = o.join(np_, "p").join(nt, "t").agg(two("n").alias("tp"), F.sum(F.col("n") * F.col("n") / F.col("np")).alias("bp"), F.sum(F.col("n") * F.col("n") / F.col("nt")).alias("br"), F.sum("n").alias("members"))
+    x = x.crossJoin(np_.agg(two("np").alias("pp"))).crossJoin(nt.agg(two("nt").alias("pt")))  # one row each
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    x = x.select(F.coalesce("members", F.lit(0.0)).cast("long").alias("members"), ratio(F.col("tp"), F.col("pp")).alias("precision"), ratio(F.col("tp"), F.col("pt")).alias("recall"), ratio(F.col("bp"), F.col("members")).alias("bcubed_precision"), ratio(F.col("br"), F.col("members")).alias("bcubed_recall"))
+    f1 = lambda p, r: ratio(2 * F.col(p) * F.col(r), F.col(p) + F.col(r))
+    return x.withColumn("f1", f1("precision", "recall")).withColumn("bcubed_f1", f1("bcubed_precision", "bcubed_recall"))
+
+
+def size_distribution(members: DataFrame) -> DataFrame:
+    """size, clusters, records."""
+    n = members.groupBy("cluster_id").agg(F.count("*").alias("size"))
+    return n.groupBy("size").agg(F.count("*").alias("clusters"), F.sum("size").alias("records"))
+
+
+def match_rate(members: DataFrame) -> DataFrame:
+    """records, matched, clusters, match_rate (share of records in a cluster of two or more), reduction (1 - clusters / records)."""
+    n = members.groupBy("cluster_id").agg(F.count("*").alias("n"))
+    x = n.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("matched"), F.count("*").alias("clusters"))
+    return x.withColumn("match_rate", F.coalesce(F.try_divide("matched", "records"), F.lit(0.0))).withColumn("reduction", F.coalesce(1 - F.try_divide("clusters", "records"), F.lit(0.0)))
+
+
+def transitivity(pairs: DataFrame) -> DataFrame:
+    """closed, open, rate: of the paths a - b - c, how many are closed by a - c. Paths are
+    counted from degrees; only triangles are made, each once, from its least vertex on."""
+    e = cut(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    d = e.select(F.explode(F.array("a", "b")).alias("v")).groupBy("v").agg(F.count("*").cast("double").alias("d"))
+    paths = d.agg(F.sum(F.col("d") * (F.col("d") - 1) / 2).alias("paths"))
+    tri = e.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").join(e.select("a", F.col("b").alias("c")), ["a", "c"]).agg(F.count("*").alias("t"))
+    x = paths.crossJoin(tri).select((3 * F.col("t")).alias("closed"), F.coalesce("paths", F.lit(0.0)).cast("long").alias("paths"))
+    return x.select("closed", (F.col("paths") - F.col("closed")).alias("open"), F.coalesce(F.try_divide("closed", "paths"), F.lit(1.0)).alias("rate"))
+
+
 def add_pairs(members: DataFrame, pairs: DataFrame) -> DataFrame:
     """Incremental: new pairs join or merge existing clusters; members without one stay as they are."""
     label = members.select(F.col("member").alias("v"), F.col("cluster_id").alias("l"))
@@ -91,7 +192,8 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def label_propagation(pairs: DataFrame, rounds: int = 100) -> DataFrame:
-    """member, community: the most frequent label among the neighbours (ties: the least), until stable."""
+    """member, community: the most frequent label among the neighbours (ties: the least), until
+    stable; labels that still move after ``rounds`` rounds are an error."""
     e = pairs.select("a", "b").where("a <> b").distinct()
     arcs = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     lab = arcs.select(F.col("a").alias("v")).distinct().withColumn("l", F.col("v"))
@@ -103,8 +205,8 @@ def label_propagation(pairs: DataFrame, rounds: int = 100) -> DataFrame:
         # an even/odd flip is broken by keeping the smaller of the two labels
         lab = step.select("v", F.least("new", "l").alias("l"))
         if not moved:
-            break
-    return lab.select(F.col("v").alias("member"), F.col("l").alias("community"))
+            return lab.select(F.col("v").alias("member"), F.col("l").alias("community"))
+    raise RuntimeError(f"labels are not stable after {rounds} rounds")
 
 
 def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,27 +37,31 @@ def leaf_runs(batches):
 
     Interior runs leave finished; the first and last run stay open at that side
     (edge 'h', 't' or 'ht') because a neighbouring partition may continue them."""
-    block, seq, held, first = TaskContext.get().partitionId(), 0, None, True
+    block, seq, held = TaskContext.get().partitionId(), 0, None
     for pdf in batches:
         if not len(pdf):
             continue
-        change = (pdf.entity != pdf.entity.shift()) | (pdf.content != pdf.content.shift())
-        runs = pdf[change].reset_index(drop=True)
-        rows = [dict(block=block, entity=e, content=c, id_from=i, t_from=t) for e, c, i, t in zip(runs.entity, runs.content, runs.id, runs.t)]
-        if held is not None and rows and (rows[0]["entity"], rows[0]["content"]) == (held["entity"], held["content"]):
-            rows = rows[1:]
+        rows = pdf[["entity", "content", "id", "t"]]
         if held is not None:
-            rows = [held, *rows]
-        out = []
-        for a, b in zip(rows, rows[1:]):
-            same = a["entity"] == b["entity"]
-            out.append(a | {"seq": seq, "id_to": b["id_from"] if same else -1, "t_to": b["t_from"] if same else None, "edge": "h" if first else ""})
-            seq, first = seq + 1, False
-        held = rows[-1]
-        if out:
-            yield _frame(out)
+            rows = pd.concat([held, rows], ignore_index=True)
+        runs = rows[(rows.entity != rows.entity.shift()) | (rows.content != rows.content.shift())]
+        if len(runs) > 1:
+            yield _runs(runs, block, seq)
+            seq += len(runs) - 1
+        held = runs.iloc[-1:]
     if held is not None:
-        yield _frame([held | {"seq": seq, "id_to": -1, "t_to": None, "edge": "ht" if first else "t"}])
+        yield _runs(pd.concat([held, held]), block, seq, last=True)
+
+
+def _runs(runs: pd.DataFrame, block: int, seq: int, last: bool = False) -> pd.DataFrame:
+    """All runs but the last, each ended by the next one; run 0 of a block is open at its head, the ``last`` at its tail."""
+    a, b = runs.iloc[:-1], runs.iloc[1:]
+    ends = (a.entity.to_numpy() == b.entity.to_numpy()) & (not last)
+    n = np.arange(seq, seq + len(a))
+    edge = np.where(n == 0, "h", "").astype(object) + ("t" if last else "")
+    return pd.DataFrame(
+        {"block": block, "seq": n, "entity": a.entity.to_numpy(), "content": a.content.to_numpy(), "id_from": a.id.to_numpy(), "t_from": a.t.to_numpy(), "id_to": np.where(ends, b.id.to_numpy(), -1), "t_to": b.t.where(ends).to_numpy(), "edge": edge}
+    )
 
 
 def _frame(rows):

@@ -43,16 +43,29 @@ def crosswalk(records: DataFrame, members: DataFrame, source: str, pk: str, reco
     return records.select(F.col(source).alias("source"), F.col(pk).alias("source_pk"), F.col(record).alias("member")).join(members, "member").select("source", "source_pk", F.col("cluster_id").alias("entity_id")).distinct()
 
 
-def seal(log: DataFrame, order: str, block: int = 10_000) -> DataFrame:
+def seal(log: DataFrame, order: str, block: int = 10_000, segment: int = 500) -> DataFrame:
     """Audit seals of an append-only log: a digest per block of ``block`` order values,
-    chained over the (few) blocks, so a later change of any row breaks the chain."""
+    chained within segments of ``segment`` blocks and over the heads of the segments
+    before, so a later change of any row breaks the chain. A segment is folded in one
+    pass; only the heads (one a segment) stand in one window."""
     rest = [c for c in log.columns if c != order]
-    h = log.select(F.floor(F.col(order) / block).alias("block"), F.col(order).alias("o"), F.sha2(F.to_json(F.struct(order, *rest)), 256).alias("h"))
+    h = log.select(F.floor(F.col(order) / block).alias("block"), F.sha2(F.to_json(F.struct(order, *rest)), 256).alias("h"))
     # the order-independent sum of row digests keeps a block out of a single buffer
     parts = h.groupBy("block").agg(F.count("*").alias("rows"), *[F.sum(F.conv(F.substring("h", 1 + 12 * i, 12), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(5)])
     own = parts.select("block", "rows", F.sha2(F.concat_ws(":", "block", "rows", *[f"s{i}" for i in range(5)]), 256).alias("digest"))
-    w = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, 0)  # one row per block
-    return own.select("block", "rows", "digest", F.sha2(F.array_join(F.collect_list("digest").over(w), ""), 256).alias("seal"))
+    seg = own.groupBy(F.floor(F.col("block") / segment).alias("seg")).agg(F.array_sort(F.collect_list(F.struct("block", "rows", "digest"))).alias("b"))
+    # (chain so far, links): each block's link is the digest of the last link and its own digest
+    start = F.struct(F.lit("").alias("last"), F.array().cast("array<string>").alias("links"))
+
+    def step(acc, x):
+        link = F.sha2(F.concat(acc["last"], x["digest"]), 256)
+        return F.struct(link.alias("last"), F.concat(acc["links"], F.array(link)).alias("links"))
+
+    seg = cut(seg.select("seg", "b", F.aggregate("b", start, step).alias("c")))
+    w = Window.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)  # one row per segment
+    heads = seg.select("seg", F.coalesce(F.array_join(F.collect_list("c.last").over(w), ""), F.lit("")).alias("before"))
+    x = seg.join(heads, "seg").select("before", F.explode(F.arrays_zip("b", F.col("c.links").alias("links"))).alias("z"))
+    return x.select("z.b.block", "z.b.rows", "z.b.digest", F.sha2(F.concat("before", "z.links"), 256).alias("seal"))
 
 
 def screen(records: DataFrame, watchlist: DataFrame, id: str, name: str, threshold: float = 0.85, top: int = 3) -> DataFrame:
@@ -78,24 +91,24 @@ def private_linkage(a: DataFrame, b: DataFrame, id: str, columns: list[str], thr
     return p.join(ea, "a").join(eb, "b").select("a", "b", fuzzy.clk_dice(F.col("ka"), F.col("kb")).alias("score")).where(F.col("score") >= threshold)
 
 
-def collective(scored: DataFrame, alpha: float = 0.3, threshold: float = 0.7, rounds: int = 5) -> DataFrame:
+def collective(scored: DataFrame, alpha: float = 0.3, threshold: float = 0.7) -> DataFrame:
     """a, b, score refined by neighbours: (1 - alpha) x attribute score + alpha x the
-    share of each other's neighbours they have in common, Jacobi until the accepted pairs are stable."""
-    attr = cut(scored.select("a", "b", F.col("score").alias("attr")))
-    now, accepted = attr.withColumn("score", F.col("attr")), None
-    for _ in range(rounds):
+    share of each other's neighbours they have in common. A score never falls again, so
+    the accepted pairs only grow, and the rounds end when they no longer do."""
+    now = cut(scored.select("a", "b", F.col("score").alias("attr"), F.col("score")))
+    accepted = -1
+    while True:
         good = cut(now.where(F.col("score") >= threshold).select("a", "b"))
         n = good.count()
         if n == accepted:
-            break
+            return now.select("a", "b", "score")
         accepted = n
         arcs = good.unionByName(good.select(F.col("b").alias("a"), F.col("a").alias("b")))
         deg = arcs.groupBy("a").agg(F.count("*").alias("d"))
-        common = attr.join(arcs.select("a", F.col("b").alias("z")), "a").join(arcs.select(F.col("a").alias("b"), F.col("b").alias("z")), ["b", "z"]).groupBy("a", "b").agg(F.count("*").alias("c"))
-        x = attr.join(common, ["a", "b"], "left").join(deg, "a", "left").join(deg.select(F.col("a").alias("b"), F.col("d").alias("e")), "b", "left")
+        common = now.select("a", "b").join(arcs.select("a", F.col("b").alias("z")), "a").join(arcs.select(F.col("a").alias("b"), F.col("b").alias("z")), ["b", "z"]).groupBy("a", "b").agg(F.count("*").alias("c"))
+        x = now.join(common, ["a", "b"], "left").join(deg, "a", "left").join(deg.select(F.col("a").alias("b"), F.col("d").alias("e")), "b", "left")
         nb = F.coalesce(F.try_divide(F.col("c"), F.coalesce("d", F.lit(0)) + F.coalesce("e", F.lit(0)) - F.col("c")), F.lit(0.0))
-        now = cut(x.select("a", "b", "attr", F.greatest(F.col("attr") * (1 - alpha) + alpha * nb, F.when(nb == 0, F.col("attr")).otherwise(0.0)).alias("score")))
-    return now.select("a", "b", "score")
+        now = cut(x.select("a", "b", "attr", F.greatest("score", F.when(nb > 0, F.col("attr") * (1 - alpha) + alpha * nb)).alias("score")), now)
 
 
 def resolve_profiles(scored: DataFrame, threshold: float) -> DataFrame:

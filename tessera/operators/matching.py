@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scorers as S
@@ -190,3 +190,122 @@ def top_k_similar(df: DataFrame, id: str, vector: str, query: list[float], k: in
     """The k rows most similar to a query vector (cosine), best first."""
     q = F.array(*[F.lit(float(x)) for x in query])
     return df.select(F.col(id).alias("id"), S.cosine(F.col(vector), q).alias("score")).where(F.col("score") >= threshold).orderBy(F.desc("score"), "id").limit(k)
+
+
+def top_k_search(df: DataFrame, queries: DataFrame, id: str, vector: str, k: int = 10, rows: int = 20_000, block: int = 2_000) -> DataFrame:
+    """query, id, score, rank: for every query vector the k rows of greatest cosine (ties: the
+    least id), a query itself among them if it is a row.
+
+    Blocks of about ``block`` queries meet blocks of about ``rows`` rows as one matrix
+    product each, which keeps k per query; those are merged per query. Every row is
+    compared with every query. Zero and null vectors score 0 and nothing."""
+    import numpy as np
+
+    d = df.select(F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    q = queries.select(F.col(id).alias("query"), F.col(vector).cast("array<double>").alias("q")).where("q is not null")
+    nd, nq = max(1, math.ceil(d.count() / rows)), max(1, math.ceil(q.count() / block))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    d = d.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(nd)).cast("int").alias("r"), every(nq).alias("c"))
+    q = q.select("query", "q", F.pmod(F.xxhash64("query"), F.lit(nq)).cast("int").alias("c"), every(nd).alias("r"))
+
+    def unit(vs):
+        m = np.stack([np.asarray(v, float) for v in vs])
+        n = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+    def best(left, right):
+        import pandas as pd
+
+        if not len(left) or not len(right):
+            return pd.DataFrame({"query": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        left = left.sort_values("id", ignore_index=True)
+        s = unit(right.q) @ unit(left.v).T
+        n = min(k, s.shape[1])
+        top = np.argsort(-s, axis=1, kind="stable")[:, :n]  # stable: ties keep the least id
+        return pd.DataFrame({"query": np.repeat(right["query"].to_numpy(), n), "id": left.id.to_numpy()[top].ravel(), "score": np.take_along_axis(s, top, 1).ravel()})
+
+    part = d.groupBy("r", "c").cogroup(q.groupBy("r", "c")).applyInPandas(best, "query long, id long, score double")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+# ---- term frequency -----------------------------------------------------
+def term_frequencies(df: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
+    """Per column a table value, tf (share of the non-null rows)."""
+    out = {}
+    for c in columns:
+        v = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"))
+        n = v.agg(F.sum("n").alias("all"))
+        out[c] = v.crossJoin(F.broadcast(n)).select("value", (F.col("n") / F.col("all")).alias("tf"))  # one row
+    return out
+
+
+def with_term_frequency(pairs: DataFrame, tables: dict[str, DataFrame], u: dict[str, float]) -> DataFrame:
+    """``pairs`` (a, b, structs x, y) with ``tf_<column>``: log2(u / tf) where both hold the same
+    value, so an agreement on a rare value counts more than the average agreement (u) and
+    one on a common value less; 0 where they differ or one is null."""
+    for c, t in tables.items():
+        t = t.select(F.col("value").alias("__v"), F.col("tf").alias("__tf"))
+        same = F.when(F.col(f"x.{c}") == F.col(f"y.{c}"), F.col(f"x.{c}"))
+        pairs = pairs.join(t, same == F.col("__v"), "left").withColumn(f"tf_{c}", F.coalesce(F.log2(F.lit(float(u[c])) / F.col("__tf")), F.lit(0.0))).drop("__v", "__tf")
+    return pairs
+
+
+def estimate_u(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, u: probability that two rows drawn at random agree exactly, from value counts."""
+    one = lambda c, t: t.agg(F.coalesce(F.sum(F.col("tf") * F.col("tf")), F.lit(0.0)).alias("u")).select(F.lit(c).alias("column"), "u")
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [one(c, t) for c, t in term_frequencies(df, columns).items()])
+
+
+def supervised(patterns: DataFrame, n_levels: list[int], label: str = "match") -> FellegiSunter:
+    """m, u and the match share from labelled patterns (g0.., boolean label), counted in one aggregate."""
+    k = len(n_levels)
+    rows = patterns.groupBy(label, *[f"g{i}" for i in range(k)]).agg(F.count("*").alias("n")).collect()  # at most 2 x the patterns
+    m, u = ([[1e-6] * n for n in n_levels] for _ in range(2))
+    total = {True: 0, False: 0}
+    for r in rows:
+        total[bool(r[label])] += r["n"]
+        for i in range(k):
+            if r[f"g{i}"] >= 0:
+                (m if r[label] else u)[i][r[f"g{i}"]] += r["n"]
+    norm = lambda t: [[x / sum(row) for x in row] for row in t]
+    return FellegiSunter(total[True] / max(1, sum(total.values())), norm(m), norm(u))
+
+
+def posterior(model: FellegiSunter, n_fields: int) -> Column:
+    """P(match) of a pattern: prior odds times the Bayes factors of its observed fields."""
+    bits = F.lit(math.log2(model.match_share / (1 - model.match_share)))
+    for i, w in enumerate(model.weights()[:n_fields]):
+        g = F.col(f"g{i}")
+        bits = bits + F.when(g < 0, 0.0).otherwise(F.element_at(F.array(*[F.lit(x) for x in w]), g + 1))
+    return 1 / (1 + F.pow(F.lit(2.0), -bits))
+
+
+def model_report(spark, model: FellegiSunter, names: list[str]) -> DataFrame:
+    """field, level, m, u, weight of every level, and two_random (the match share) on each row."""
+    rows = [(f, j, float(a), float(b), float(w), float(model.match_share)) for f, x, y, z in zip(names, model.m, model.u, model.weights()) for j, (a, b, w) in enumerate(zip(x, y, z))]
+    return spark.createDataFrame(rows, "field string, level int, m double, u double, weight double, two_random double")
+
+
+def explain(pairs: DataFrame, fields: list[tuple[str, str, float]]) -> DataFrame:
+    """a, b, field, score, weight, share: what each field adds to a weighted score
+    (share of the weights known on both sides; null where a side is null)."""
+    parts, den = [], F.lit(0.0)
+    for col, name, w in fields:
+        x, y = F.col(f"x.{col}"), F.col(f"y.{col}")
+        seen = x.isNotNull() & y.isNotNull()
+        den = den + F.when(seen, F.lit(float(w))).otherwise(0.0)
+        parts.append(F.struct(F.lit(col).alias("field"), F.when(seen, S.score(name, x, y)).alias("score"), F.lit(float(w)).alias("weight")))
+    p = pairs.select("a", "b", den.alias("den"), F.explode(F.array(*parts)).alias("p")).select("a", "b", "den", "p.*")
+    return p.select("a", "b", "field", "score", "weight", F.try_divide(F.col("score") * F.col("weight"), F.col("den")).alias("share"))
+
+
+def recall_estimate(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Capture and recapture: pairs found by two independent ways, by both, and the estimated
+    number of true pairs (Chapman) and recall of their union. Columns n_a, n_b, n_both, total, recall."""
+    c = lambda d, n: d.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().withColumn(n, F.lit(1))
+    x = c(a, "p").join(c(b, "q"), ["a", "b"], "full").agg(F.count("p").alias("n_a"), F.count("q").alias("n_b"), F.count(F.col("p") + F.col("q")).alias("n_both"))
+    total = (F.col("n_a") + 1) * (F.col("n_b") + 1) / (F.col("n_both") + 1) - 1
+    return x.withColumn("total", total).withColumn("recall", F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("n_a") + F.col("n_b") - F.col("n_both"), "total")), F.lit(1.0)))

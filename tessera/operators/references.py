@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.session import cut
+
 OUT = "table_name string, row_key string, state string, ref_time timestamp"
 
 
@@ -46,17 +48,17 @@ def references(df: DataFrame, table_name: str, key: str, row_key: str, time: str
 
 
 def probe(refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
-    """Binary search of a batch of references in the sorted parents of its range."""
+    """Binary search of a batch of references in the sorted arrays of its range (one row, or none)."""
     if not len(refs):
         return pd.DataFrame({"table_name": pd.Series(dtype=object), "row_key": pd.Series(dtype=object), "state": pd.Series(dtype=object), "ref_time": pd.Series(dtype="datetime64[us]")})
-    p = parents.sort_values("h", kind="stable", ignore_index=True)
-    ph, rh = p.h.to_numpy(np.int64), refs.h.to_numpy(np.int64)
-    lo, hi = np.searchsorted(ph, rh, "left"), np.searchsorted(ph, rh, "right")
-    at = np.full(len(refs), -1)
-    rk, pk = refs.k.to_numpy(object), p.k.to_numpy(object)
-    one = hi > lo
-    if len(p):
-        first = np.minimum(lo, len(p) - 1)
+    rh, rk = refs.h.to_numpy(np.int64), refs.k.to_numpy(object)
+    at, state = np.full(len(refs), -1), np.full(len(refs), "missing", object)
+    if len(parents):
+        p = parents.iloc[0]
+        ph, pk, gone, born = np.asarray(p.h, np.int64), np.asarray(p.k, object), np.asarray(p.gone, bool), np.asarray(p.born, np.int64)
+        lo, hi = np.searchsorted(ph, rh, "left"), np.searchsorted(ph, rh, "right")
+        one = hi > lo
+        first = np.minimum(lo, len(ph) - 1)
         same = one & (pk[first] == rk)
         at[same] = first[same]
         for i in np.flatnonzero(one & ~same):  # keys whose 64-bit hashes collide
@@ -64,35 +66,44 @@ def probe(refs: pd.DataFrame, parents: pd.DataFrame) -> pd.DataFrame:
                 if pk[j] == rk[i]:
                     at[i] = j
                     break
-    found = at >= 0
-    state = np.where(found, "", "missing").astype(object)
-    if len(p):
-        gone = p.gone.to_numpy(bool)[at] & found
-        late = found & (p.born.to_numpy("datetime64[us]")[at] > refs.ref_time.to_numpy("datetime64[us]"))
+        found = at >= 0
+        time = refs.ref_time.to_numpy("datetime64[us]")
+        late = found & ~np.isnat(time) & (born[at] > time.astype(np.int64))
+        state[found] = ""
         state[late] = "late"
-        state[gone] = "deleted"
+        state[found & gone[at]] = "deleted"
     out = refs.assign(state=state)[["table_name", "row_key", "state", "ref_time"]]
     return out[out.state != ""]
 
 
+def sorted_ranges(parents: DataFrame, rng) -> DataFrame:
+    """One row per range r: its parents as arrays h, k, gone, born (microseconds; the least
+    long for none), sorted by h. A range holds about as many parents as it was cut for."""
+    born = F.coalesce(F.unix_micros("born"), F.lit(-(2**63)))
+    x = parents.withColumn("r", rng).groupBy("r").agg(F.sort_array(F.collect_list(F.struct("h", "k", "gone", born.alias("born")))).alias("p"))
+    return x.select("r", *[F.col(f"p.{c}").alias(c) for c in ("h", "k", "gone", "born")])
+
+
 def broken_references(refs: DataFrame, parents: DataFrame, per_range: int = 25_000, per_batch: int | None = None) -> DataFrame:
     """References whose parent is ``missing``, ``deleted`` or ``late``.
 
     refs: table_name, row_key, k, h, ref_time (see :func:`references`); parents
-    as from :func:`parent_index`. ``per_range`` is about the number of parents of a
-    range, ``per_batch`` (twice that) of references probed at once: the parents of
-    a range are sent to every batch of it, so small ranges are sent less often. A parent without a birth time, or a
-    reference without a time, is never late. Empty tables give no rows."""
+    as from :func:`parent_index`. Both are read once; the parents are stored as one
+    sorted array per range. ``per_range`` is about the number of parents of a range,
+    ``per_batch`` (twice that) of references probed at once: the arrays of a range are
+    sent to every batch of it, so small ranges are sent less often. A parent without a
+    birth time, or a reference without a time, is never late. Empty tables give no rows."""
+    parents, refs = cut(parents), cut(refs.select("table_name", "row_key", "k", "h", "ref_time"))
     n = max(1, math.ceil(max(parents.count(), 1) / per_range))
     # equal ranges of the 64-bit key space, ascending
     rng = F.least(F.lit(n - 1), F.floor((F.col("h").cast("double") / 2.0**63 + 1) / 2 * n)).cast("int")
     refs = refs.withColumn("r", rng)
-    salts = refs.groupBy("r").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(per_batch or 2 * per_range))).cast("int").alias("salts"))
+    salts = cut(refs.groupBy("r").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / F.lit(per_batch or 2 * per_range))).cast("int").alias("salts")))
     r = refs.join(salts, "r").withColumn("s", F.pmod(F.xxhash64("table_name", "row_key"), F.col("salts")).cast("int"))
-    p = parents.withColumn("r", rng).join(salts, "r").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    p = cut(sorted_ranges(parents, rng)).join(salts, "r").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     r = r.select("r", "s", "table_name", "row_key", "k", "h", "ref_time")
-    p = p.select("r", "s", "h", "k", "gone", "born")
-    return r.groupBy("r", "s").cogroup(p.groupBy("r", "s")).applyInPandas(probe, OUT)
+    p = p.select(F.col("r").alias("pr"), F.col("s").alias("ps"), "h", "k", "gone", "born")
+    return r.groupBy("r", "s").cogroup(p.groupBy("pr", "ps")).applyInPandas(probe, OUT)
 
 
 def misses_by_period(broken: DataFrame, period: str = "month") -> DataFrame:

@@ -111,9 +111,9 @@ def duplicate_row_ratio(spark, d):
     return stats.duplicate_row_ratio(table(spark, d, "gm_match_log")).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("select count(*) \"rows\", 6 as columns, 0.0 as mean_null_ratio from orders")
+@query("select count(*) \"rows\", 3 as columns, round((avg((text is null)::int) + avg((lang is null)::int) + avg((source is null)::int)) / 3, 6) mean_null_ratio from documents")
 def frame_summary(spark, d):
-    return stats.frame_summary(table(spark, d, "orders"))
+    return stats.frame_summary(table(spark, d, "documents").select("text", "lang", "source")).withColumn("mean_null_ratio", F.round("mean_null_ratio", 6))
 
 
 @query("select c_custkey, sha256('c_custkey' || chr(31) || 'int' || chr(31) || c_custkey || chr(30) || 'c_name' || chr(31) || case when c_name is null then 'null' || chr(31) else 'str' || chr(31) || c_name end) fingerprint from customer")
@@ -128,7 +128,8 @@ def otsu_threshold(spark, d):
 
 
 # ---- relations ----------------------------------------------------------
-@query("select 'c_nationkey' determinant, 'n_regionkey' dependent where (select count(distinct n_nationkey) from nation) > 0")
+@query("""with j as (select c_nationkey x, n_regionkey y from customer join nation on c_nationkey = n_nationkey)
+select 'c_nationkey' determinant, 'n_regionkey' dependent where (select max(n) from (select count(distinct y) n from j group by x)) = 1 union all select 'n_regionkey', 'c_nationkey' where (select max(n) from (select count(distinct x) n from j group by y)) = 1""")
 def functional_dependencies(spark, d):
     j = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("c_nationkey", "n_regionkey")
     return relations.functional_dependencies(j, ["c_nationkey", "n_regionkey"])
@@ -231,12 +232,39 @@ def transform_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.lowercase(t).alias("l"), T.collapse_whitespace(t).alias("w"), T.remove_digits(t).alias("nd"), T.remove_urls(t).alias("nu"), T.remove_html_tags(t).alias("nh"), T.remove_punctuation(t).alias("np"), T.extract_numbers(t).alias("nums"), T.normalize_line_endings(t).alias("nl"), T.truncate(t, "40").alias("cut"))
 
 
-@query("""with e as (select distinct row_id, json_extract_string(payload, '$.email') e from source_records where source = 'crm_contacts' and json_valid(payload))
-select row_id, lower(trim(e)) low, case when regexp_matches(lower(trim(e)), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') then true else false end valid, case when e like '%@%' then lower(trim(split_part(e, '@', -1))) end as "domain" from e""")
+#: Paths of a field in the payloads of all feeds; a value that is itself an object is none.
+PATHS = {
+    "email": ["email", "email_addr", "mail", "EMAIL1", "contact_email", "contact.email"],
+    "phone": ["phone", "tel", "mobile", "PHONE1", "phone_no", "telephone", "contact_phone", "contact.phone"],
+    "address": ["address.line1", "address", "street", "ADDR1", "addr_line", "residence"],
+    "zip": ["zip", "postal_code", "ZIP5", "address.zip"],
+}
+
+
+def _field_sql(name: str) -> str:
+    return "coalesce(" + ", ".join(f"case when json_type(payload, '$.{p}') = 'VARCHAR' then json_extract_string(payload, '$.{p}') end" for p in PATHS[name]) + ")"
+
+
+def _fields(spark, d, **names) -> DataFrame:
+    """row_id and the named fields of every record with a readable payload."""
+    v = F.try_parse_json("payload")
+
+    def one(name):
+        # text of an object or array is no value of its own
+        return F.coalesce(*[F.when(~F.get_json_object("payload", f"$.{p}").rlike(r"^[{\[]"), F.get_json_object("payload", f"$.{p}")) for p in PATHS[name]])
+
+    return table(spark, d, "source_records").where(v.isNotNull()).select("row_id", *[one(n).alias(a) for a, n in names.items()]).distinct()
+
+
+@query(f"""with e as (select distinct row_id, {_field_sql("email")} e from source_records where json_valid(payload)),
+n as (select *, lower(trim(e)) l, regexp_matches(lower(trim(e)), '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') ok from e),
+c as (select *, case when ok then regexp_replace(split_part(l, '@', 1), '\\+.*$', '') end loc, split_part(l, '@', -1) dom from n)
+select row_id, l low, coalesce(ok, false) valid, case when e like '%@%' then lower(trim(split_part(e, '@', -1))) end as "domain", case when ok then case when dom in ('gmail.com', 'googlemail.com') then replace(loc, '.', '') else loc end || '@' || dom else e end normal,
+case when regexp_matches(e, '^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$') then substr(e, 1, 1) || '***@' || split_part(e, '@', -1) end mask from c""")
 def transform_email(spark, d):
-    r = table(spark, d, "source_records").where("source = 'crm_contacts'").where(F.try_parse_json("payload").isNotNull()).select("row_id", F.get_json_object("payload", "$.email").alias("e")).distinct()
+    r = _fields(spark, d, e="email")
     e = F.col("e")
-    return r.select("row_id", T.email_lowercase(e).alias("low"), F.coalesce(T.email_validate(e), F.lit(False)).alias("valid"), T.email_extract_domain(e).alias("domain"))
+    return r.select("row_id", T.email_lowercase(e).alias("low"), F.coalesce(T.email_validate(e), F.lit(False)).alias("valid"), T.email_extract_domain(e).alias("domain"), T.email_normalize(e).alias("normal"), T.email_mask(e).alias("mask"))
 
 
 @query("""select o_orderkey, strftime(o_orderdate, '%Y-%m-%d') iso, strftime(o_orderdate, '%m/%d/%Y') us, year(o_orderdate)::int y, quarter(o_orderdate)::int q, dayname(o_orderdate) wd, strftime(o_orderdate + interval 30 day, '%Y-%m-%d') later from orders""")
@@ -278,11 +306,15 @@ def block_sorted_neighbourhood(spark, d):
     return blocking.sorted_neighbourhood(table(spark, d, "part"), "p_partkey", F.col("p_name"), 4)
 
 
-@query("""with t as (select distinct p_partkey id, unnest(regexp_split_to_array(lower(p_name || ' ' || p_type || ' ' || p_size || 'cm' || p_partkey % 97), '[^\\p{L}\\p{N}]+')) k from part), f as (select k from t where length(k) >= 3 group by 1 having count(*) between 2 and 40)
-select distinct a.id a, b.id b from t a join t b on a.k = b.k and a.id < b.id where a.k in (select k from f)""")
+@query("""with r as (select min(p_partkey) id, p_name || ' ' || p_type x from part group by 2), t as (select distinct id, unnest(regexp_split_to_array(lower(x), '[^\\p{L}\\p{N}]+')) k from r)
+select distinct 'link' kind, a.id a, b.id b from t a join t b on a.k = b.k and a.id < b.id where length(a.k) >= 3 union all select 'copy', r.id, p_partkey from part join r on r.x = p_name || ' ' || p_type where p_partkey <> r.id""")
 def block_token(spark, d):
-    p = table(spark, d, "part").withColumn("t", F.concat_ws(" ", "p_name", "p_type", F.concat(F.col("p_size"), F.lit("cm"), F.col("p_partkey") % 97)))
-    return blocking.token(p, "p_partkey", "t", max_df=40)
+    """Texts that share a token, frequent ones too: pairs between the least rows of equal texts, and their copies."""
+    p = table(spark, d, "part").withColumn("t", F.concat_ws(" ", "p_name", "p_type"))
+    r = p.groupBy("t").agg(F.min("p_partkey").alias("p_partkey"))
+    links = blocking.token(r, "p_partkey", "t", exact=True)
+    copies = p.select("t", F.col("p_partkey").alias("b")).join(r, "t").where("b <> p_partkey").select(F.lit("copy").alias("kind"), F.col("p_partkey").alias("a"), "b")
+    return links.select(F.lit("link").alias("kind"), "a", "b").unionByName(copies)
 
 
 @query("""with g as (select count(*) n from part group by lower(p_brand) having count(*) > 1) select count(*) blocks, max(n) largest, quantile_cont(n, 0.5) p50, round(quantile_cont(n, 0.95), 4) p95, round(quantile_cont(n, 0.99), 4) p99, sum(n * (n - 1) / 2)::bigint pairs from g""")
@@ -353,13 +385,6 @@ def score_numeric_diff(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(scorers.numeric_diff(F.col("l_quantity"), F.col("l_discount") * 100, "abs", 10.0), 6).alias("score"))
 
 
-@query("""with q as (select embedding q from embeddings where vec_id = (select min(vec_id) from embeddings)) select vec_id id, round(list_cosine_similarity(embedding::double[], q::double[]), 5) score from embeddings, q order by 2 desc, 1 limit 10""")
-def top_k_similar(spark, d):
-    e = table(spark, d, "embeddings")
-    q = e.orderBy("vec_id").first().embedding
-    return matching.top_k_similar(e, "vec_id", "embedding", [float(x) for x in q], 10, -1.0).withColumn("score", F.round("score", 5))
-
-
 # ---- matching, clusters, survivors --------------------------------------
 _SIG = "with s as (select doc_id, text, lang, source, regexp_replace(lower(text), '[^0-9a-z]+', '', 'g') sig from documents), g as (select sig, min(doc_id) cluster_id, count(*) n from s where trim(sig) <> '' group by 1 having count(*) > 1)\n"
 
@@ -452,13 +477,17 @@ def compare_clusterings(spark, d):
 
 @query()
 def fellegi_sunter(spark, d):
-    """Documents of one entity, source and language, compared by their words, language and length."""
-    x = table(spark, d, "documents").where("text is not null").withColumn("n_chars", F.col("n_chars").cast("string"))
-    pairs = blocking.static(x, "doc_id", [("entity_id", ["strip"]), ("source", []), ("lang", [])])
-    fields = [("text", "dice", [0.9, 0.5]), ("lang", "exact", [1.0]), ("n_chars", "numeric_diff:pct:0.5", [0.9])]
-    lv = matching.levels(matching.attach(pairs, x, x, "doc_id", ["text", "lang", "n_chars"]), fields)
-    model = matching.train(lv, [3, 2, 2])
-    return lv.select("a", "b", model.score(3).alias("score")).where("score >= 0.5")
+    """Documents of one entity, or that begin alike, compared by their words, language, source and
+    length. Rows without an entity, language or source meet by their text; the hot entity meets in parts."""
+    x = table(spark, d, "documents").where("text is not null").dropDuplicates(["doc_id"])
+    x = x.withColumns({"n_chars": F.col("n_chars").cast("string"), "lang": F.lower(F.substring_index(F.trim("lang"), "-", 1)), "entity": F.lower(F.trim("entity_id")), "head": F.lower(F.substring_index(F.trim("text"), " ", 1)), "start": F.lower(F.substring_index(F.trim("text"), " ", 4))})
+    # copies of one text stand for themselves once
+    r = x.groupBy("text", "entity", "lang", "source").agg(F.min("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.first("head").alias("head"), F.first("start").alias("start"))
+    pairs = blocking.multi_pass(r, "doc_id", [[("entity", []), ("head", [])], [("start", [])]])
+    fields = [("text", "dice", [0.9, 0.5]), ("lang", "exact", [1.0]), ("source", "exact", [1.0]), ("n_chars", "numeric_diff:pct:0.5", [0.9])]
+    lv = matching.levels(matching.attach(pairs, r, r, "doc_id", ["text", "lang", "source", "n_chars"]), fields)
+    model = matching.train(lv, [3, 2, 2, 2])
+    return lv.select("a", "b", model.score(4).alias("score")).where("score >= 0.5")
 
 
 # ---- windows, sets, time ------------------------------------------------
@@ -541,13 +570,10 @@ def identity_crosswalk(spark, d):
 
 @query()
 def minhash_similarity(spark, d):
-    """Mean signature agreement of candidate pairs (an estimate of their Jaccard similarity)."""
-    x = table(spark, d, "documents").where("text is not null").select("doc_id", sketches.minhash(sketches.shingles(F.col("text")), 64).alias("sig")).where("sig is not null")
-    p = blocking.pairs_of(x.select(F.col("doc_id").alias("id"), F.explode(sketches.bands(F.col("sig"), sketches.recall_bands(64, 0.8)[0], 64)).alias("k")))
-    # copies share all bands: one representative of each signature is compared
-    y = x.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    j = p.join(y.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(y.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
-    return j.select("a", "b", F.round(sketches.estimate_jaccard(F.col("sa"), F.col("sb")), 4).alias("jaccard"))
+    """Documents whose texts are at least 0.8 alike: pairs between the least documents of equal
+    texts (kind link), and the copies of each (kind copy, similarity 1)."""
+    copies, pairs = blocking.similar_texts(table(spark, d, "documents").where("text is not null"), "doc_id", "text")
+    return pairs.select(F.lit("link").alias("kind"), "a", "b", F.round("jaccard", 4).alias("jaccard")).unionByName(copies.where("id <> rep").select(F.lit("copy").alias("kind"), F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard")))
 
 
 # ---- further operators --------------------------------------------------
@@ -568,18 +594,18 @@ def baseline_metrics(spark, d):
     return b.where("column = 'o_totalprice' and metric in ('mean', 'min', 'max')").withColumn("value", F.round("value", 4))
 
 
-@query("""with e as (select distinct row_id, json_extract_string(payload, '$.phone') p from source_records where source = 'crm_contacts' and json_valid(payload))
-select row_id, regexp_replace(p, '[^0-9]', '', 'g') digits, case when length(regexp_replace(p, '[^0-9]', '', 'g')) = 10 then '+1' || regexp_replace(p, '[^0-9]', '', 'g') when length(regexp_replace(p, '[^0-9]', '', 'g')) = 11 and regexp_replace(p, '[^0-9]', '', 'g') like '1%' then '+' || regexp_replace(p, '[^0-9]', '', 'g') else p end e164 from e""")
+@query(f"""with e as (select distinct row_id, {_field_sql("phone")} p from source_records where json_valid(payload)),
+x as (select *, regexp_replace(p, '[^0-9]', '', 'g') g, starts_with(trim(p), '+') plus from e), y as (select *, case when length(g) = 10 then g when length(g) = 11 and g like '1%' then substr(g, 2) end n from x)
+select row_id, g digits, case when n is not null and (not plus or g like '1%') then '+1' || n when plus and length(g) between 8 and 15 then '+' || g else p end e164, case when n is not null then '(' || n[1:3] || ') ' || n[4:6] || '-' || n[7:10] else p end national, n is not null or (plus and length(g) between 8 and 15) valid from y""")
 def transform_phone(spark, d):
-    r = table(spark, d, "source_records").where("source = 'crm_contacts'").where(F.try_parse_json("payload").isNotNull()).select("row_id", F.get_json_object("payload", "$.phone").alias("p")).distinct()
-    return r.select("row_id", T.phone_digits(F.col("p")).alias("digits"), T.phone_e164(F.col("p")).alias("e164"))
+    p = F.col("p")
+    return _fields(spark, d, p="phone").select("row_id", T.phone_digits(p).alias("digits"), T.phone_e164(p).alias("e164"), T.phone_national(p).alias("national"), T.phone_validate(p).alias("valid"))
 
 
-@query("""with e as (select distinct row_id, json_extract_string(payload, '$.address') a, json_extract_string(payload, '$.zip') z from source_records where source = 'crm_contacts' and json_valid(payload))
-select row_id, case when regexp_matches(trim(z), '^[0-9]{3,5}(-?[0-9]{4})?$') then lpad(regexp_extract(trim(z), '^([0-9]{3,5})(-?[0-9]{4})?$', 1), 5, '0') else z end zip, case when lower(trim(a)) in ('n/a', 'null', 'none', 'na', 'nil', 'nan', '-', '') then null else a end address from e""")
+@query(f"""with e as (select distinct row_id, {_field_sql("address")} a, {_field_sql("zip")} z from source_records where json_valid(payload))
+select row_id, case when regexp_matches(trim(z), '^[0-9]{{3,5}}(-?[0-9]{{4}})?$') then lpad(regexp_extract(trim(z), '^([0-9]{{3,5}})(-?[0-9]{{4}})?$', 1), 5, '0') else z end zip, case when lower(trim(a)) in ('n/a', 'null', 'none', 'na', 'nil', 'nan', '-', '') then null else a end address from e""")
 def transform_address(spark, d):
-    r = table(spark, d, "source_records").where("source = 'crm_contacts'").where(F.try_parse_json("payload").isNotNull()).select("row_id", F.get_json_object("payload", "$.address").alias("a"), F.get_json_object("payload", "$.zip").alias("z")).distinct()
-    return r.select("row_id", T.zip_normalize(F.col("z")).alias("zip"), T.null_standardize(F.col("a")).alias("address"))
+    return _fields(spark, d, a="address", z="zip").select("row_id", T.zip_normalize(F.col("z")).alias("zip"), T.null_standardize(F.col("a")).alias("address"))
 
 
 @query("select o_orderkey, lower(trim(o_orderpriority)) s, trim(regexp_replace(o_orderpriority, '\\s+', ' ', 'g')) w, regexp_replace(lower(o_orderpriority), '[^0-9a-z]', '', 'g') k from orders")

@@ -2,11 +2,13 @@
 
 The records table is read as a log of partitions (feeds). Each partition has
 two offsets, the highest row number and the latest change time processed. A
-run (1) writes its batch plan - one offset row per partition - ahead of any
-work, (2) captures what lies beyond the offsets of the *written* plan, (3)
-hands it to a sink that keeps one row per key and offset, and (4) commits the
-plan. A run that finds a plan without a commit replays that plan, so a failure
-neither skips nor repeats a record.
+run (1) writes its batch plan ahead of any work - for every partition the offsets
+it starts after and those it ends at -, (2) captures what lies between the offsets
+of the *written* plan, (3) hands it to a sink that keeps one row per key and offset
+over all batches, and (4) commits the plan. The next plan starts where the last
+committed one ended. A run that finds a plan without a commit replays that plan:
+its end offsets make it the same batch although the log has grown since, so a
+failure neither skips nor repeats a record.
 """
 
 from __future__ import annotations
@@ -47,9 +49,9 @@ def offsets(state: DataFrame) -> DataFrame:
 class ChangeFeed:
     """Write-ahead plans, captured batches and commits under one folder.
 
-    layout: ``plan/<n>`` the offsets of batch n, ``batch/<n>`` what it captured,
-    ``commit/<n>`` an empty marker. ``home`` defaults to a new folder in the
-    cluster's shared storage."""
+    layout: ``plan/<n>`` the offsets of batch n (part, row_pos, time_pos, row_end,
+    time_end), ``batch/<n>`` what it captured, ``commit/<n>`` an empty marker.
+    ``home`` defaults to a new folder in the cluster's shared storage."""
 
     def __init__(self, spark: SparkSession, home: str | None = None):
         self.spark, self.home = spark, home or new_path(spark, "changefeed")
@@ -64,30 +66,56 @@ class ChangeFeed:
         names = [f.getPath().getName() for f in self._fs.listStatus(p)]
         return sorted(int(n) for n in names if n.isdigit() and (kind == "commit" or self._fs.exists(self._path(f"{self.home}/{kind}/{n}/_SUCCESS"))))
 
-    def plan(self, state: DataFrame) -> int:
-        """Number of the batch to run: an uncommitted plan is taken up again as
-        written; otherwise the current offsets are written as a new plan."""
+    def _plan(self, n: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.home}/plan/{n}")
+
+    def plan(self, state: DataFrame, log: DataFrame, part: str = "source", row: str = "row_id", changed: str = "last_seen_at") -> int:
+        """Number of the batch to run: an uncommitted plan is taken up again as written;
+        otherwise a new one goes from the later of the last commit's end and the
+        position in ``state`` to the end of the log as it is now. A null partition is
+        one of its own."""
         plans, commits = self._list("plan"), set(self._list("commit"))
         pending = [n for n in plans if n not in commits]
         if pending:
             return pending[0]
         n = (plans[-1] + 1) if plans else 0
-        offsets(state).coalesce(1).write.mode("overwrite").parquet(f"{self.home}/plan/{n}")
+        start = offsets(state)
+        if plans:
+            start = start.unionByName(self._plan(plans[-1]).select("part", F.col("row_end").alias("row_pos"), F.col("time_end").alias("time_pos")))
+        start = start.groupBy("part").agg(F.max("row_pos").alias("row_pos"), F.max("time_pos").alias("time_pos"))
+        end = log.groupBy(F.col(part).alias("p")).agg(F.max(row).alias("row_end"), F.max(changed).alias("time_end"))
+        both = start.join(end, F.col("part").eqNullSafe(F.col("p")), "full").select(F.coalesce("part", "p").alias("part"), "row_pos", "time_pos", F.greatest("row_pos", "row_end").alias("row_end"), F.greatest("time_pos", "time_end").alias("time_end"))
+        both.coalesce(1).write.mode("overwrite").parquet(f"{self.home}/plan/{n}")  # one row per partition of the log
         return n
 
     def capture(self, n: int, log: DataFrame, part: str = "source", row: str = "row_id", changed: str = "last_seen_at") -> DataFrame:
-        """Records of the log beyond the offsets of plan n. A partition without
-        a plan row, or whose plan has no position at all, is captured whole."""
-        plan = self.spark.read.parquet(f"{self.home}/plan/{n}").select(F.col("part").alias("__part"), F.col("row_pos").alias("__rp"), F.col("time_pos").alias("__tp"))
+        """Records of the log between the offsets of plan n: beyond one start, and beyond
+        no end. A partition whose plan has no start position is captured from its beginning;
+        one that has come up since is not in the plan and waits for the next."""
+        plan = self._plan(n).select(F.col("part").alias("__part"), F.col("row_pos").alias("__rp"), F.col("time_pos").alias("__tp"), F.col("row_end").alias("__re"), F.col("time_end").alias("__te"))
         if plan.count() <= PLAN_BROADCAST_ROWS:  # one row per partition of the log
             plan = F.broadcast(plan)
         new = (F.col("__rp").isNull() & F.col("__tp").isNull()) | F.coalesce(F.col(row) > F.col("__rp"), F.lit(False)) | F.coalesce(F.col(changed) > F.col("__tp"), F.lit(False))
-        return log.join(plan, log[part] == plan["__part"], "left").where(new).drop("__part", "__rp", "__tp")
+        old = (F.col(row).isNull() | F.coalesce(F.col(row) <= F.col("__re"), F.lit(False))) & (F.col(changed).isNull() | F.coalesce(F.col(changed) <= F.col("__te"), F.lit(False)))
+        return log.join(plan, log[part].eqNullSafe(plan["__part"])).where(new & old).drop("__part", "__rp", "__tp", "__re", "__te")
 
     def sink(self, n: int, rows: DataFrame, key: list[str], offset: list[str]) -> DataFrame:
-        """Write batch n once per key and offset and return what is stored.
-        Replays overwrite the same batch folder, so nothing is stored twice."""
-        rows.dropDuplicates([*key, *offset]).write.mode("overwrite").parquet(f"{self.home}/batch/{n}")
+        """Write batch n and return what is stored: one row per key and offset, none that
+        an earlier batch stored. A replay overwrites its own folder. Of the earlier
+        batches only rows within the offsets of this one are read."""
+        ids, rows = [*key, *offset], rows.dropDuplicates([*key, *offset])
+        before = [f"{self.home}/batch/{i}" for i in self._list("batch") if i < n]
+        if before:
+            o = offset[0]
+            lo, hi = rows.agg(F.min(o), F.max(o)).first()
+            held = self.spark.read.parquet(*before).select(*ids)
+            held = held.where(F.col(o).isNull() | F.col(o).between(F.lit(lo), F.lit(hi))) if lo is not None else held.where(F.col(o).isNull())
+            held = held.toDF(*[f"__{c}" for c in ids])
+            same = F.lit(True)
+            for c in ids:
+                same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+            rows = rows.join(held, same, "left_anti")
+        rows.write.mode("overwrite").parquet(f"{self.home}/batch/{n}")
         return self.spark.read.parquet(f"{self.home}/batch/{n}")
 
     def commit(self, n: int) -> None:
@@ -95,7 +123,7 @@ class ChangeFeed:
 
     def run(self, state: DataFrame, log: DataFrame, columns: list[str] | None = None, part: str = "source", row: str = "row_id", changed: str = "last_seen_at") -> DataFrame:
         """One whole run; returns the stored batch."""
-        n = self.plan(state)
+        n = self.plan(state, log, part, row, changed)
         rows = self.capture(n, log, part, row, changed)
         rows = rows.select(*dict.fromkeys([*(columns or rows.columns), row, changed]))
         out = self.sink(n, rows, [row], [changed])

@@ -19,11 +19,10 @@ class StreamMatcher:
         self.spark, self.home, self.id, self.key, self.fields, self.threshold = spark, home.rstrip("/"), id, key, fields, threshold
 
     def _before(self, kind: str, batch: int, schema) -> DataFrame:
-        try:
-            df = self.spark.read.parquet(f"{self.home}/{kind}")
-        except Exception:  # nothing written yet
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/{kind}")
+        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):  # nothing written yet
             return self.spark.createDataFrame([], schema)
-        return df.where(F.col("batch") < batch).drop("batch")
+        return self.spark.read.parquet(f"{self.home}/{kind}").where(F.col("batch") < batch).drop("batch")
 
     def __call__(self, df: DataFrame, batch: int) -> None:
         base = self._before("base", batch, df.schema)
@@ -31,8 +30,11 @@ class StreamMatcher:
         every = base.unionByName(new)
         key = blocking.static_key(self.key).alias("k")
         n, a = new.select(F.col(self.id).alias("id"), key).where("k is not null"), every.select(F.col(self.id).alias("id2"), key).where("k is not null")
+        keys = n.select("k").distinct()
+        a = a.join(keys, "k", "left_semi")  # of the base only the blocks the batch touches go on
         pairs = n.join(a, "k").where("id <> id2").select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
-        scored = matching.score_pairs(pairs, every, self.id, self.fields, self.threshold)
+        touched = every.join(a.select(F.col("id2").alias(self.id)), self.id, "left_semi")
+        scored = matching.score_pairs(pairs, touched, self.id, self.fields, self.threshold)
         new.write.mode("overwrite").parquet(f"{self.home}/base/batch={batch}")
         scored.write.mode("overwrite").parquet(f"{self.home}/pairs/batch={batch}")
 

@@ -65,13 +65,39 @@ def test_replay_after_failure(spark, tmp_path):
     state, log = feed(spark)
     home = f"file://{tmp_path}/f"
     first = changefeed.ChangeFeed(spark, home)
-    n = first.plan(state)
+    n = first.plan(state, log)
     first.sink(n, first.capture(n, log).limit(2), ["row_id"], ["last_seen_at"])  # died half way, nothing committed
     later = state.unionByName(spark.createDataFrame([(9, "a", T[20], 1000, None)], state.schema))
     again = changefeed.ChangeFeed(spark, home)
-    assert again.plan(later) == n  # the plan on record, not the newer state
+    assert again.plan(later, log) == n  # the plan on record, not the newer state
     assert sorted(r.row_id for r in again.run(later, log).collect()) == [6, 11, 12, 13, 14]
-    assert again.plan(later) == n + 1
+    assert again.plan(later, log) == n + 1
+
+
+def test_growing_log_dying_after_each_step(spark, tmp_path):
+    """Whatever step a run dies after, and although the log grows meanwhile, every record comes out once."""
+    schema = "row_id long, source string, last_seen_at timestamp"
+    grown = [[(1, "a", T[0]), (2, None, T[0])], [(3, "a", T[1]), (4, "b", T[1])], [(5, "b", T[2])], [(6, "a", T[3]), (1, "a", T[9])], [(7, "c", None)]]
+    none = spark.createDataFrame([], "id long, source_table string, last_processed_at timestamp, last_row_id long, last_incremental_value string")
+    home, rows, out = f"file://{tmp_path}/g", [], []
+    for step, more in enumerate(grown):
+        # record 1 changes in the fourth step: its old version is gone from the log
+        rows = [r for r in rows if r[0] not in {m[0] for m in more}] + more
+        log = spark.createDataFrame([*rows, rows[0]], schema)
+        f = changefeed.ChangeFeed(spark, home)
+        n = f.plan(none, log)
+        if step > 0:
+            got = f.capture(n, log)
+            if step > 1:
+                f.sink(n, got, ["row_id"], ["last_seen_at"])
+                if step > 2:
+                    f.commit(n)
+    for _ in range(4):
+        changefeed.ChangeFeed(spark, home).run(none, log)
+    stored = spark.read.parquet(*[f"{home}/batch/{i}" for i in changefeed.ChangeFeed(spark, home)._list("batch")])
+    got = sorted((r.row_id, r.last_seen_at) for r in stored.collect() if r.row_id < 7)
+    assert got == [(1, T[9]), (2, T[0]), (3, T[1]), (4, T[1]), (5, T[2]), (6, T[3])]
+    assert stored.where("row_id = 7").count() == 1
 
 
 def brute(rows):
