@@ -309,3 +309,25 @@ def recall_estimate(a: DataFrame, b: DataFrame) -> DataFrame:
     x = c(a, "p").join(c(b, "q"), ["a", "b"], "full").agg(F.count("p").alias("n_a"), F.count("q").alias("n_b"), F.count(F.col("p") + F.col("q")).alias("n_both"))
     total = (F.col("n_a") + 1) * (F.col("n_b") + 1) / (F.col("n_both") + 1) - 1
     return x.withColumn("total", total).withColumn("recall", F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("n_a") + F.col("n_b") - F.col("n_both"), "total")), F.lit(1.0)))
+
+
+def top_k_fuzzy(df: DataFrame, queries: DataFrame, id: str, column: str, scorer: str = "levenshtein", k: int = 3, q: int = 3) -> DataFrame:
+    """query, id, score, rank: the k best values of a column for every query text (ties: the
+    least id), among those that share a q-gram with it; equal texts are scored once."""
+    gram = lambda c: F.explode(S.qgrams(F.col(c), q))
+    d = df.where(F.col(column).isNotNull()).select(F.col(id).alias("id"), F.col(column).alias("t"))
+    u = queries.where(F.col(column).isNotNull()).select(F.col(id).alias("query"), F.col(column).alias("u"))
+    words, asked = d.select("t").distinct(), u.select("u").distinct()
+    met = asked.select("u", gram("u").alias("g")).join(words.select("t", gram("t").alias("g")), "g").select("u", "t").distinct()
+    s = met.withColumn("score", S.score(scorer, F.col("u"), F.col("t")))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return s.join(u, "u").join(d, "t").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "id", "score", "rank")
+
+
+def ann_pairs(df: DataFrame, id: str, vector: str, dim: int, threshold: float = 0.9, planes: int = 64, bands: int = 8, also: DataFrame | None = None) -> DataFrame:
+    """a, b, score: pairs of vectors of at least this cosine among those that share a band of
+    their SimHash; ``also`` adds candidate pairs (a, b) of another blocking to them."""
+    cand = blocking.simhash(df, id, vector, dim, planes, bands)
+    cand = cand if also is None else cand.unionByName(also.select("a", "b")).distinct()
+    x = attach(cand, df, df, id, [vector])
+    return x.select("a", "b", S.cosine(F.col(f"x.{vector}"), F.col(f"y.{vector}")).alias("score")).where(F.col("score") >= threshold)

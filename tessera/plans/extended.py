@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scorers
 from tessera.functions import transforms as T
-from tessera.operators import clusters, frames, identity, matching, stats, survivorship
+from tessera.operators import clusters, frames, identity, matching, ordered, stats, survivorship
 from tessera.plans.catalogue import _EDGES, _TRUTH, _edges, _truth
 from tessera.session import table
 
@@ -286,13 +286,13 @@ def split_large_clusters(spark, d):
 
 
 # ---- survivors ----------------------------------------------------------
-@query("""select o_custkey, count(*) as size, min(o_totalprice) lo, round(sum(o_totalprice), 4) total, round(sum(o_totalprice * o_shippriority_) / sum(o_shippriority_), 1) wavg, count(o_orderstatus) filled, list_aggregate(list_sort(list(distinct o_orderstatus)), 'string_agg', '; ') statuses,
+@query("""select o_custkey, count(*) as size, min(o_totalprice) lo, round(sum(o_totalprice), 4) total, round(sum(o_orderkey * o_shippriority_) / sum(o_shippriority_), 6) wavg, count(o_orderstatus) filled, list_aggregate(list_sort(list(distinct o_orderstatus)), 'string_agg', '; ') statuses,
 arg_max(o_orderpriority, (-length(o_orderpriority), -o_orderkey)) shortest, arg_max(o_clerk_, (length(o_clerk_), -o_orderkey)) longest, case when count(distinct o_orderstatus) = 1 then max(o_orderstatus) end unanimous from (select *, (o_orderkey % 3 + 1)::double o_shippriority_, o_orderpriority || repeat('x', (o_orderkey % 4)::int) o_clerk_ from orders) group by 1""")
 def golden_more(spark, d):
     c = F.col
-    o = table(spark, d, "orders").withColumns({"lo": c("o_totalprice"), "total": c("o_totalprice"), "wavg": c("o_totalprice"), "w": (c("o_orderkey") % 3 + 1).cast("double"), "filled": c("o_orderstatus"), "statuses": c("o_orderstatus"), "shortest": c("o_orderpriority"), "longest": F.concat("o_orderpriority", F.repeat(F.lit("x"), (c("o_orderkey") % 4).cast("int"))), "unanimous": c("o_orderstatus")})
+    o = table(spark, d, "orders").withColumns({"lo": c("o_totalprice"), "total": c("o_totalprice"), "wavg": c("o_orderkey"), "w": (c("o_orderkey") % 3 + 1).cast("double"), "filled": c("o_orderstatus"), "statuses": c("o_orderstatus"), "shortest": c("o_orderpriority"), "longest": F.concat("o_orderpriority", F.repeat(F.lit("x"), (c("o_orderkey") % 4).cast("int"))), "unanimous": c("o_orderstatus")})
     g = survivorship.golden(o, "o_custkey", "o_orderkey", {"lo": "numeric_min", "total": "numeric_sum", "wavg": ("numeric_weighted_average", {"weight": "w"}), "filled": "count_non_null", "statuses": "concat_unique", "shortest": "shortest_value", "longest": "longest_value", "unanimous": "unanimous_or_null"})
-    return g.select("o_custkey", "size", "lo", F.round("total", 4).alias("total"), F.round("wavg", 1).alias("wavg"), "filled", "statuses", "shortest", "longest", "unanimous")
+    return g.select("o_custkey", "size", "lo", F.round("total", 4).alias("total"), F.round("wavg", 6).alias("wavg"), "filled", "statuses", "shortest", "longest", "unanimous")
 
 
 @query("""with v as (select o_custkey, case lower(x) when 'yes' then true when 'n' then false end b, x, o_orderkey from (select o_custkey, o_orderkey, ['Yes', 'n', 'YES', ' maybe '][(o_orderkey % 4)::int + 1] x from orders)), g as (select o_custkey, b, count(*) n, min(o_orderkey) f from v where b is not null group by 1, 2),
@@ -339,3 +339,74 @@ def frame_edits(spark, d):
 def null_ratio(spark, d):
     x = table(spark, d, "documents").select(F.nullif(F.lower(F.trim("lang")), F.lit("")).alias("value"))
     return stats.profile(x).select("column", F.round("null_ratio", 6).alias("null_ratio"), "rows")
+
+
+# ---- order --------------------------------------------------------------
+@query("""select e.event_id, v.amount from (select event_id, user_id, ts from events where event_type = (select min(event_type) from events)) e asof left join (select user_id, ts, max(value) amount from events where event_type = (select max(event_type) from events) group by 1, 2) v on e.user_id = v.user_id and e.ts >= v.ts""")
+def as_of_join(spark, d):
+    e = table(spark, d, "events")
+    lo, hi = e.agg(F.min("event_type"), F.max("event_type")).first()
+    left, right = e.where(F.col("event_type") == lo).select("event_id", "user_id", "ts"), e.where(F.col("event_type") == hi).select("user_id", "ts", F.col("value").alias("amount"))
+    return ordered.as_of_join(left, right, "user_id", "ts", ["amount"]).select("event_id", "amount")
+
+
+@query("select o_orderkey, band from orders join (select s_suppkey band, s_suppkey * 4000.0 lo, s_suppkey * 4000.0 + 5000 hi from supplier) on o_totalprice between lo and hi")
+def range_join(spark, d):
+    bands = table(spark, d, "supplier").select(F.col("s_suppkey").alias("band"), (F.col("s_suppkey") * 4000.0).alias("lo"), (F.col("s_suppkey") * 4000.0 + 5000).alias("hi"))
+    return ordered.range_join(table(spark, d, "orders"), bands, "o_totalprice", "lo", "hi", 5000.0).select("o_orderkey", "band")
+
+
+@query("select o_orderkey, o_totalprice \"value\", round(o_totalprice - lag(o_totalprice) over (order by o_orderkey), 4) diff from orders")
+def consecutive_diff(spark, d):
+    return ordered.consecutive_diff(table(spark, d, "orders"), "o_totalprice", "o_orderkey").withColumn("diff", F.round("diff", 4))
+
+
+@query("select coalesce(min(x - p) >= 0, true) \"ascending\", coalesce(max(x - p) <= 0, true) \"descending\" from (select p_retailprice x, lag(p_retailprice) over (order by p_partkey) p from part)")
+def is_sorted(spark, d):
+    return ordered.is_sorted(table(spark, d, "part"), "p_retailprice", "p_partkey")
+
+
+@query("select p_brand, p_size, min(p_partkey) p_partkey from part group by 1, 2")
+def unique_rows(spark, d):
+    return ordered.unique(table(spark, d, "part"), ["p_brand", "p_size"], "p_partkey").select("p_brand", "p_size", "p_partkey")
+
+
+@query("select p_brand, least(25, count(*))::bigint n from part group by 1")
+def stratified_sample(spark, d):
+    return ordered.stratified(table(spark, d, "part"), "p_partkey", "p_brand", 25).groupBy("p_brand").agg(F.count("*").alias("n"))
+
+
+_COLS = ["run_id", "is_current", "source_table"]
+
+
+@query(" union all ".join(f"""select '{c}' "column", count(*) "keys", count(*) filter (where n > 1) changing from (select count(distinct {c}) + max(({c} is null)::int) n from gm_golden_records where cluster_id is not null group by cluster_id)""" for c in _COLS))
+def changing_attributes(spark, d):
+    return ordered.versions(table(spark, d, "gm_golden_records"), "cluster_id", _COLS).select("column", "keys", "changing")
+
+
+@query("""with g as (select date_trunc('month', o_orderdate)::timestamp p, sum(o_totalprice) v from orders group by 1)
+select strftime(g.p, '%Y-%m') as "period", round(g.v, 2) "value", round(lag(g.v) over (order by g.p), 2) previous, round(a.v, 2) year_ago, round(sum(g.v) over (order by g.p), 2) running from g left join g a on a.p = g.p - interval 12 month""")
+def period_compare(spark, d):
+    x = ordered.periods(table(spark, d, "orders"), "o_orderdate", F.sum("o_totalprice"))
+    return x.select(F.date_format("period", "yyyy-MM").alias("period"), *[F.round(c, 2).alias(c) for c in ("value", "previous", "year_ago", "running")])
+
+
+@query("""with c as (select l_quantity::double x, count(*) c from lineitem group by 1), r as (select x, c, sum(c) over (order by x) cum, sum(c) over () n, min(x) over () lo, max(x) over () hi from c)
+select max(n)::bigint n, round(max(greatest(abs(cum / n - (x - lo) / (hi - lo)), abs((cum - c) / n - (x - lo) / (hi - lo)))), 6) d from r""")
+def ks_uniform(spark, d):
+    return ordered.ks_uniform(table(spark, d, "lineitem"), "l_quantity").withColumn("d", F.round("d", 6))
+
+
+@query("""with p as (select p_partkey id, p_name t, list_distinct([substr(lower(p_name), i::int, 3) for i in range(1, length(p_name) - 1)]) g from part), q as (select * from p where id % 100 = 0),
+s as (select q.id as query, p.id, round(1 - levenshtein(q.t, p.t) / greatest(length(q.t), length(p.t)), 6)::double score from q join p on len(list_intersect(q.g, p.g)) > 0)
+select * from (select *, row_number() over (partition by query order by score desc, id)::int rank from s) where rank <= 3""")
+def top_k_fuzzy(spark, d):
+    p = table(spark, d, "part")
+    return matching.top_k_fuzzy(p, p.where("p_partkey % 100 = 0"), "p_partkey", "p_name").withColumn("score", F.round("score", 6))
+
+
+@query("""select a.vec_id a, b.vec_id b from embeddings a join embeddings b on a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.9""")
+def ann_pairs(spark, d):
+    e = table(spark, d, "embeddings")
+    dim = e.select(F.max(F.size("embedding"))).first()[0] or 1
+    return matching.ann_pairs(e, "vec_id", "embedding", dim, 0.9).select("a", "b")
