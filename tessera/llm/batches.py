@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import linkage as L
 from tessera.llm import people as P
-from tessera.operators.blocking import parts_of
-from tessera.session import cut, forget, new_path, parallelism
+from tessera.operators.blocking import PART
+from tessera.session import cut, forget, new_path
 
 #: Ranges of the index; a table holds one folder per batch and range. The more there
 #: are, the less of the history a small batch reads.
@@ -34,28 +34,21 @@ RANGES = 16
 
 
 def scopes(profiles: DataFrame) -> DataFrame:
-    """node, bit, scope, texts: what every node may share with a duplicate and the
-    strings (kind, text, bound) that must then be near. A null attribute makes no
-    scope and a null or very short token no string."""
+    """node, bit, scope: what every node may share with a duplicate. A null attribute makes no scope."""
     name = P.whole_name()
-    text = lambda kind, c, bound: F.when(c.isNotNull(), F.struct(F.lit(kind).alias("kind"), c.alias("text"), F.lit(bound).alias("bound")))
-    token = lambda c: text(1, F.when(F.length(F.replace(F.col(c), F.lit("."), F.lit(""))) > 2, F.col(c)), 1)
-    date, whole = text(2, F.col("dob"), 1), text(0, F.lit(""), 0)
-    out = [
-        (P.EMAIL, [F.col("email")], [token("n1"), token("n2"), date]),
-        (P.PHONE, [F.col("phone")], [token("n1"), token("n2"), date]),
-        (P.ADDR, [F.col("addr")], [token("n1"), token("n2")]),
-        (P.DOB, [F.col("dob")], [token("n1"), token("n2")]),
-        (P.ZIP, [F.col("zip")], [text(0, name, 1)]),
-        (P.CITY, [F.col("city"), name], [whole]),
-        (P.NAMES, [name], [whole]),
-    ]
-    arr = [F.when(reduce(and_, [c.isNotNull() for c in scope]), F.struct(F.lit(bit).alias("bit"), F.xxhash64("source", F.lit(bit), *scope).alias("scope"), F.array_compact(F.array(*texts)).alias("texts"))) for bit, scope, texts in out]
-    return profiles.select("node", F.explode(F.array_compact(F.array(*arr))).alias("s")).select("node", "s.*")
+    out = [(P.EMAIL, [F.col("email")]), (P.PHONE, [F.col("phone")]), (P.ADDR, [F.col("addr")]), (P.DOB, [F.col("dob")]), (P.ZIP, [F.col("zip")]), (P.CITY, [F.col("city"), name]), (P.NAMES, [name])]
+    arr = [F.when(reduce(and_, [c.isNotNull() for c in scope]), F.struct(F.lit(bit).alias("bit"), F.xxhash64("source", F.lit(bit), *scope).alias("scope"))) for bit, scope in out]
+    return profiles.select("node", F.explode(F.array_compact(F.array(*arr))).alias("s")).select("node", "s.*").distinct()
 
 
 def strings(scoped: DataFrame) -> DataFrame:
-    return scoped.select("node", "bit", "scope", F.explode("texts").alias("t")).select("node", "bit", "scope", "t.*")
+    """node, bit, scope, kind, text, bound: the strings that must be near within each scope
+    (rows node, bit, scope, n1, n2, dob); a null or very short token makes none."""
+    text = lambda kind, c, bound: F.when(c.isNotNull(), F.struct(F.lit(kind).alias("kind"), c.alias("text"), F.lit(bound).alias("bound")))
+    token = lambda c: text(1, F.when(F.length(F.replace(F.col(c), F.lit("."), F.lit(""))) > 2, F.col(c)), 1)
+    names = F.array(token("n1"), token("n2"))
+    by_bit = F.when(F.col("bit").isin(P.EMAIL, P.PHONE), F.array(token("n1"), token("n2"), text(2, F.col("dob"), 1))).when(F.col("bit").isin(P.ADDR, P.DOB), names).when(F.col("bit") == P.ZIP, F.array(text(0, P.whole_name(), 1))).otherwise(F.array(text(0, F.lit(""), 0)))
+    return scoped.select("node", "bit", "scope", F.explode(F.array_compact(by_bit)).alias("t")).select("node", "bit", "scope", "t.*")
 
 
 def _segment(length: Column, count: int, i: int) -> tuple[Column, Column]:
@@ -65,7 +58,9 @@ def _segment(length: Column, count: int, i: int) -> tuple[Column, Column]:
 
 
 def _key(bound: int, length: Column, i: int, piece: Column) -> Column:
-    return F.xxhash64("scope", "kind", F.lit(bound), length, F.lit(i), piece)
+    """Upper half the scope's, so that a hot scope shows in the key; lower half a hash of all."""
+    h = F.xxhash64("scope", "kind", F.lit(bound), length, F.lit(i), piece)
+    return F.shiftleft(F.shiftright("scope", 32), 32).bitwiseOR(h.bitwiseAND(0xFFFFFFFF))
 
 
 def _piece(at: Column, size: Column) -> Column:
@@ -127,13 +122,15 @@ def _score(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return cut(P.scored_edges(verified(P.with_profiles(edges, nodes))))
 
 
-def meet(probing: DataFrame, index: DataFrame) -> DataFrame:
-    """a < b, mask: nodes that meet in a segment. A segment held by over PART nodes is
-    cut into parts, and so are the nodes that probe it; every two parts meet in a group of their own."""
-    p, q = parts_of(probing, ["k"], "node"), parts_of(index, ["k"], "node")
-    np_, nq = (x.groupBy("k").agg(F.max("__n").alias(n)).where(F.col(n) > 1) for x, n in ((p, "np"), (q, "nq")))
-    p = p.join(nq, "k", "left").select("k", F.col("node").alias("x"), "bit", F.col("__own").alias("i"), F.explode(F.sequence(F.lit(0), F.coalesce("nq", F.lit(1)) - 1)).alias("j"))
-    q = q.join(np_, "k", "left").select("k", F.col("node").alias("y"), F.col("__own").alias("j"), F.explode(F.sequence(F.lit(0), F.coalesce("np", F.lit(1)) - 1)).alias("i"))
+def meet(probing: DataFrame, index: DataFrame, hot: DataFrame) -> DataFrame:
+    """a < b, mask: nodes that meet in a segment. Scopes of over PART nodes (``hot``: tag, n)
+    are cut into n parts, those that probe as well as those that are probed; every two parts
+    meet in a group of their own."""
+    def parts(rows: DataFrame, node: str, own: str, other: str) -> DataFrame:
+        x = rows.withColumn("tag", F.shiftright("k", 32)).join(hot, "tag", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        return x.select("k", F.col("node").alias(node), "bit", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias(other))
+
+    p, q = parts(probing, "x", "i", "j"), parts(index, "y", "j", "i").drop("bit")
     return p.join(q, ["k", "i", "j"]).where("x <> y").groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.bit_or("bit").alias("mask"))
 
 
@@ -191,10 +188,7 @@ class Gate:
         return self.spark.sql("select " + ", ".join(f"cast(null as {t}) as `{c}`" for c, t in (f.split() for f in schema.split(", "))) + " where false")
 
     def _write(self, kind: str, df: DataFrame) -> None:
-        n = parallelism(self.spark)
-        # a range is written by several tasks where there are more tasks than ranges
-        part = F.pmod(F.xxhash64(df.columns[0]), F.lit(max(1, n // RANGES)))
-        df.repartition(n, "r", part).write.mode("overwrite").partitionBy("r").parquet(f"{self.home}/{kind}/batch={self.batches}")
+        df.write.mode("overwrite").partitionBy("r").parquet(f"{self.home}/{kind}/batch={self.batches}")
 
     def screen(self, batch: DataFrame) -> DataFrame:
         """row_id, source, first_seen_at, entity, late of the records to turn away.
@@ -217,15 +211,17 @@ class Gate:
         was = self.read("who", WHO, who).select("h1", "h2", F.col("node").alias("was"))
         who = cut(who.join(was, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("was", "node").alias("node"), "n1", "n2", "dob", "r", F.col("was").isNull().alias("fresh")), who)
         rec = cut(rec.join(who.select("h1", "h2", "node"), ["h1", "h2"]))
-        texts = cut(strings(scopes(rec)).distinct())
-        here = texts.select("scope", "node", _range("scope")).distinct()
+        marks = cut(scopes(rec))
+        here = marks.select("scope", "node", _range("scope"))
         # only strings whose scope holds a second node, here or in history, can have a partner
-        scoped = here.unionByName(self.read("scopes", SCOPES, here).drop("batch"))
-        shared = scoped.groupBy("scope").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x <> y").select("scope")
-        live = cut(texts.join(shared, "scope", "left_semi"))
-        asked = cut(probes(live).select("*", _range("k")))
-        index = stored(live).unionByName(self.read("segments", SEGMENTS, asked).select("node", "bit", "k")).distinct()
-        edges = cut(meet(asked.select("node", "bit", "k").distinct(), cut(index)))
+        held = here.unionByName(self.read("scopes", SCOPES, here).drop("batch"))
+        shared = held.groupBy("scope").agg(F.min("node").alias("x"), F.max("node").alias("y"), F.count("*").alias("c")).where("x <> y")
+        live = cut(marks.join(shared.select("scope", "c"), "scope").join(who.select("node", "n1", "n2", "dob"), "node"))
+        hot = live.where(F.col("c") > PART).groupBy(F.shiftright("scope", 32).alias("tag")).agg(F.max(F.ceil(F.col("c") / PART)).cast("int").alias("n"))
+        texts = strings(live)
+        asked = cut(probes(texts).select("*", _range("k")))
+        index = stored(texts).unionByName(self.read("segments", SEGMENTS, asked).select("node", "bit", "k"))
+        edges = cut(meet(asked.select("node", "bit", "k"), index, cut(hot)))
         # profiles and entities of the old nodes that were hit
         old = who.where("not fresh").select("node").unionByName(edges.select(F.explode(F.array("a", "b")).alias("node")))
         old = cut(old.distinct().select("node", _range("node")))
@@ -256,15 +252,15 @@ class Gate:
         self._write("who", who.where("fresh").select("h1", "h2", "node", "r"))
         self._write("nodes", fresh.join(label, "node").select("node", "n1", "n2", "dob", "entity", _range("node")))
         # a known node in a known scope has its segments already
-        new = texts if not self.batches else texts.join(self.read("scopes", SCOPES, here).select("scope", "node"), ["scope", "node"], "left_anti")
-        self._write("scopes", new.select("scope", "node", _range("scope")).distinct())
-        self._write("segments", stored(new).select("*", _range("k")))
+        new = marks if not self.batches else marks.join(self.read("scopes", SCOPES, here).select("scope", "node"), ["scope", "node"], "left_anti")
+        self._write("scopes", new.select("scope", "node", _range("scope")))
+        self._write("segments", stored(strings(new.join(who.select("node", "n1", "n2", "dob"), "node"))).select("*", _range("k")))
         self._write("firsts", first.select("entity", "dated", "first_seen_at", "first_row", _range("entity")))
         kept.unionByName(gone).write.mode("overwrite").parquet(f"{self.home}/moves/{self.batches}")
         dates.select("feed", "first", "second").write.mode("overwrite").parquet(f"{self.home}/dates/{self.batches}")
         self._fs.mkdirs(self._path(f"{self.home}/commit/{self.batches}"))
         self.batches += 1
-        for t in (rec, who, texts, live, asked, edges, scored, old, before, firsts, label, every, first):
+        for t in (rec, who, marks, live, asked, edges, scored, old, before, firsts, label, every, first):
             forget(t)
         return away
 
