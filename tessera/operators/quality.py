@@ -29,9 +29,13 @@ def measures(df: DataFrame) -> dict[str, dict]:
         c = F.col(f"`{f.name}`")
         aggs += [F.count_if(c.isNull()).alias(f"null_{i}"), F.approx_count_distinct(c, 0.02).alias(f"distinct_{i}")]
         if isinstance(f.dataType, StringType):
-            aggs += [F.count_if(c.try_cast("double").isNotNull()).alias(f"numeric_{i}"), F.count_if(c.try_cast("bigint").isNotNull()).alias(f"integer_{i}")]
-            aggs += [F.count_if(c.rlike(p)).alias(f"{k}_{i}") for k, p in FORMATS.items()]
-            aggs += [F.count_if(c.rlike(r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]")).alias(f"zero_{i}"), F.count_if(c.rlike("[‘’“”]")).alias(f"quote_{i}"), F.count_if(c.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")).alias(f"control_{i}"), F.count_if(c.rlike(r"[^\x00-\x7F]")).alias(f"ascii_{i}")]
+            # each expensive test runs only on values that a cheap one lets through
+            if_ = lambda cheap, test: F.count_if(F.when(cheap, test))
+            number, wide = c.rlike(r"^\s*[-+.0-9NnIi]"), F.length(c) != F.octet_length(c)
+            aggs += [if_(number, c.try_cast("double").isNotNull()).alias(f"numeric_{i}"), if_(number, c.try_cast("bigint").isNotNull()).alias(f"integer_{i}")]
+            guard = {"email": c.contains("@"), "phone": F.length(c) <= 20, "url": F.lower(F.substring(c, 1, 4)) == "http"}
+            aggs += [if_(guard[k], c.rlike(p)).alias(f"{k}_{i}") for k, p in FORMATS.items()]
+            aggs += [if_(wide, c.rlike(r"[\x{200B}-\x{200D}\x{2060}\x{FEFF}]")).alias(f"zero_{i}"), if_(wide, c.rlike("[‘’“”]")).alias(f"quote_{i}"), F.count_if(c.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")).alias(f"control_{i}"), F.count_if(wide).alias(f"ascii_{i}")]
         if isinstance(f.dataType, NumericType):
             x = c.cast("double")
             aggs += [F.avg(x).alias(f"mean_{i}"), F.stddev_samp(x).alias(f"std_{i}"), F.min(x).alias(f"min_{i}"), F.max(x).alias(f"max_{i}")]
