@@ -70,7 +70,7 @@ def test_strangers_in_a_shared_mailbox_hide_nobody(spark):
     last = len(pay) - 1
     rows = [(i, "crm_contacts", p, T[0]) for i, p in enumerate(pay)]
     schema = "row_id long, source string, payload string, first_seen_at timestamp"
-    assert last in {r.row_id for r in batches.turned_away(spark.createDataFrame(rows, schema)).collect()}
+    assert last in {r.row_id for r in batches.turned_away(spark.createDataFrame(rows, schema), daily=0).collect()}
     f, n, d = people[-1]
     rows[-1] = (last, "partner_feed", json.dumps({"FNAME": f, "LNAME": n, "EMAIL1": "office@x.example", "DOB": d}), T[0])
     got = {(r.row_id_a, r.row_id_b) for r in linkage.matched_pairs(spark.createDataFrame(rows, schema)).collect()}
@@ -79,12 +79,12 @@ def test_strangers_in_a_shared_mailbox_hide_nobody(spark):
 
 def test_turned_away(spark):
     df = records(spark)
-    assert {r.row_id for r in batches.turned_away(df).collect()} == {8}
+    assert {r.row_id for r in batches.turned_away(df, daily=0).collect()} == {8}
     more = [(20, "crm_contacts", json.dumps(ROWS[0][2] | {"last_name": "Mayer", "phone": "?"}), T[0]), (21, "crm_contacts", json.dumps(ROWS[0][2]), T[1]), (22, "crm_contacts", None, T[20]), (23, "crm_contacts", None, T[21])]
     both = df.unionByName(spark.createDataFrame(more, "row_id long, source string, payload string, first_seen_at timestamp"), allowMissingColumns=True)
     # 20 came first; 1, 8 and 21 repeat it (21 at the time of 1, with the larger row_id)
     assert {r.row_id for r in batches.turned_away(both).collect()} == {1, 8, 21}
-    assert batches.turned_away(df.limit(0)).count() == 0
+    assert batches.turned_away(df.limit(0), daily=0).count() == 0
 
 
 def gate_rows(spark):
