@@ -52,11 +52,11 @@ def test_copied_votes_are_discounted(spark):
 
 
 def test_copied_errors_do_not_outvote(spark):
-    """Two copies of one wrong source against one independent source: the single vote wins where it is right."""
+    """Where only one good source is left against a wrong one and its copy, its single vote wins."""
     rows = []
     for c in range(200):
         t, w = f"t{c}", f"w{c}"
-        says = {"good": t, "fair": t if c % 4 != 1 else f"u{c}", "bad": w if c % 3 == 0 else t, "copy": w if c % 3 == 0 else t}
+        says = {"good": t, "fair": t if c % 4 != 1 else f"u{c}", "plain": t if c % 4 != 1 else f"v{c}", "bad": w if c % 3 == 0 else t, "copy": w if c % 3 == 0 else t}
         rows += [(c, i, s, T[0], "f", v, v) for i, (s, v) in enumerate(says.items())]
     claims = spark.createDataFrame(rows, "cluster_id long, row_id long, source string, last_seen_at timestamp, field string, value string, shown string")
     values, model = S.fuse(claims)
