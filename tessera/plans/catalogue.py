@@ -122,7 +122,10 @@ def record_fingerprint(spark, d):
     return c.select("c_custkey", stats.fingerprint(c.select("c_custkey", "c_name")).alias("fingerprint"))
 
 
-@query()
+@query("""with h as (select least(floor(score * 100), 99)::int b, count(*)::double n from evidence_edges where score is not null group by 1), m as (select b, n, (b + 0.5) / 100 mid from h),
+r as (select b, sum(n) over w n0, sum(n * mid) over w s0, sum(n) over () n, sum(n * mid) over () s, sum(n * mid * mid) over () q from m window w as (order by b rows unbounded preceding)),
+v as (select b, round(n0 / n * (n - n0) / n * pow(s0 / n0 - (s - s0) / nullif(n - n0, 0), 2), 12) v, q / n - pow(s / n, 2) t from r), x as (select * from v where v is not null), best as (select max(v) mv, max(t) mt from x)
+select case when mv >= 0.7 * mt then (avg(b) + 1) / 100 end as threshold from x, best where v = mv group by mv, mt""")
 def otsu_threshold(spark, d):
     return stats.otsu(table(spark, d, "evidence_edges"), "score")
 
