@@ -25,10 +25,10 @@ def query(sql: str | None = None):
 
 
 def pick(key: str, values: list[str]):
-    """(column, SQL): one of the values by a key, the same in both engines."""
+    """(column on demand, SQL): one of the values by a key, the same in both engines."""
     n = len(values)
     sql = "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"][({key} % {n})::int + 1]"
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % n).cast("int") + 1), sql
+    return lambda: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(key) % n).cast("int") + 1), sql
 
 
 # ---- transforms ---------------------------------------------------------
@@ -49,7 +49,7 @@ case when len(w) > 2 then w[1] || ' ' || w[-1] else n end middle, w[1] as first_
 regexp_matches(n, '(?:^|\\s)[A-Za-z]\\.?(?:\\s|$)') initial, case lower(trim(n)) when 'jim' then 'James' when 'kate' then 'Katherine' else n end nickname, trim(n) || ' ' || 'X' || c_custkey merged
 from (select *, regexp_split_to_array(trim(regexp_replace(n, '\\s+', ' ', 'g')), ' ') w from c)""")
 def transform_names_more(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", _name.alias("n"), F.concat(F.lit("X"), F.col("c_custkey").cast("string")).alias("other"))
+    c = table(spark, d, "customer").select("c_custkey", _name().alias("n"), F.concat(F.lit("X"), F.col("c_custkey").cast("string")).alias("other"))
     n, s, r = F.col("n"), T.split_name(F.col("n")), T.split_name_reverse(F.col("n"))
     return c.select("c_custkey", T.strip_titles(n).alias("titles"), T.strip_suffixes(n).alias("suffixes"), T.strip_middle(n).alias("middle"), s["first_name"].alias("first_name"), s["last_name"].alias("last_name"), r["first_name"].alias("rev_first"), r["last_name"].alias("rev_last"), T.initial_expand(n).alias("initial"), T.nickname_standardize(n).alias("nickname"), T.merge_name(n, "other").alias("merged"))
 
@@ -73,7 +73,7 @@ def transform_numbers_more(spark, d):
     return table(spark, d, "lineitem").select(
         "l_orderkey", "l_linenumber", T.abs_value(F.col("l_discount") - 0.05).alias("a"), T.fill_zero(F.when(F.col("l_linenumber") > 1, F.col("l_tax"))).alias("z"), T.currency_strip(F.concat(F.lit("$ "), whole)).alias("cur"),
         F.round(T.percentage_normalize(F.concat(whole, F.lit(" %"))), 6).alias("pct"), F.round(T.comma_decimal(F.concat(whole, F.lit(",5"))), 2).alias("com"), F.round(T.fraction_to_decimal(F.concat(F.col("l_linenumber").cast("string"), F.lit("/8"))), 6).alias("fr"),
-        T.ordinal_to_int(_ord).alias("ord"), T.roman_to_int(_roman).alias("rom"), T.scientific_to_decimal(F.concat(whole, F.lit("e3"))).alias("sci"),
+        T.ordinal_to_int(_ord()).alias("ord"), T.roman_to_int(_roman()).alias("rom"), T.scientific_to_decimal(F.concat(whole, F.lit("e3"))).alias("sci"),
     )
 
 
@@ -86,7 +86,7 @@ CITIES = {"New York": ["nyc", "ny"], "Los Angeles": ["la"]}
 @query(f"""select o_orderkey, case when lower(trim({_bool_sql})) in ('yes', 'true', '1') then true when lower(trim({_bool_sql})) in ('n', 'off') then false end b,
 case when lower(trim({_gender_sql})) in ('male', 'm') then 'M' when lower({_gender_sql}) in ('f', 'woman') then 'F' else {_gender_sql} end g, case lower({_cat_sql}) when 'nyc' then 'New York' when 'new york' then 'New York' when 'la' then 'Los Angeles' else {_cat_sql} end c from orders""")
 def transform_categories(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", T.boolean_normalize(_bool).alias("b"), T.gender_standardize(_gender).alias("g"), T.category_standardize(_cat, CITIES).alias("c"))
+    return table(spark, d, "orders").select("o_orderkey", T.boolean_normalize(_bool()).alias("b"), T.gender_standardize(_gender()).alias("g"), T.category_standardize(_cat(), CITIES).alias("c"))
 
 
 _form, _form_sql = pick("c_custkey", [" Inc.", ", LLC", " GmbH", "", " Co., Ltd."])
@@ -94,7 +94,7 @@ _form, _form_sql = pick("c_custkey", [" Inc.", ", LLC", " GmbH", "", " Co., Ltd.
 
 @query(f"""select c_custkey, ['inc', 'llc', 'gmbh', null, 'ltd'][(c_custkey % 5)::int + 1] legal, 'The North-' || c_custkey || ' Bank' stripped, 'north ' || c_custkey || ' bank' normal, 'N' || (c_custkey::varchar)[1] || 'B' initials from customer where {_form_sql} is not null""")
 def transform_companies(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("The North-"), F.col("c_custkey").cast("string"), F.lit(" Bank"), _form).alias("n"))
+    c = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("The North-"), F.col("c_custkey").cast("string"), F.lit(" Bank"), _form()).alias("n"))
     n = F.col("n")
     return c.select("c_custkey", T.company_extract_legal(n).alias("legal"), T.company_strip_legal(n).alias("stripped"), T.company_normalize(n).alias("normal"), T.derive_initialism(n).alias("initials"))
 
@@ -109,10 +109,10 @@ _country, _country_sql = pick("s_suppkey", ["USA", "Deutschland", "u.k.", "Unite
 ['new york', 'Texas', 'California', 'Quebec'][(s_suppkey % 4)::int + 1] full_state, ['Unit 4', 'Unit 12', 'Unit 7', 'Unit B', 'floor 2'][(s_suppkey % 5)::int + 1] unit, ['US', 'DE', 'u.k.', 'GB'][(s_suppkey % 4)::int + 1] country, s_suppkey || ' Main St' street, 'Oak Town' city, 'TX' st, '75001' zip from supplier""")
 def transform_addresses_more(spark, d):
     k = F.col("s_suppkey").cast("string")
-    a = F.concat(k, F.lit(" Main "), _street)
+    a = F.concat(k, F.lit(" Main "), _street())
     p = T.split_address(F.concat(k, F.lit(" Main St, Oak Town, TX 75001")))
-    exp = T.address_expand(F.concat(k, F.lit(" Main "), F.when(F.col("s_suppkey") % 5 == 3, F.lit("Ln")).otherwise(_street)))
-    return table(spark, d, "supplier").select("s_suppkey", T.address_standardize(a).alias("std"), exp.alias("long"), T.state_abbreviate(_state).alias("abbr"), T.state_expand(_state).alias("full_state"), T.unit_normalize(_unit).alias("unit"), T.country_standardize(_country).alias("country"), p["street"].alias("street"), p["city"].alias("city"), p["state"].alias("st"), p["zip"].alias("zip"))
+    exp = T.address_expand(F.concat(k, F.lit(" Main "), F.when(F.col("s_suppkey") % 5 == 3, F.lit("Ln")).otherwise(_street())))
+    return table(spark, d, "supplier").select("s_suppkey", T.address_standardize(a).alias("std"), exp.alias("long"), T.state_abbreviate(_state()).alias("abbr"), T.state_expand(_state()).alias("full_state"), T.unit_normalize(_unit()).alias("unit"), T.country_standardize(_country()).alias("country"), p["street"].alias("street"), p["city"].alias("city"), p["state"].alias("st"), p["zip"].alias("zip"))
 
 
 def _luhn_sql(d: str) -> str:

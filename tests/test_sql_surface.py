@@ -114,3 +114,14 @@ def test_hot_keys_meet_in_parts(spark):
     whole = {(r.a, r.b) for r in blocking.pairs_of(keys).collect()}
     parts = {(r.a, r.b) for r in blocking.pairs_of(keys, part=7).collect()}
     assert whole == parts and len([p for p in whole if p[0] % 10 == 0 and p[1] % 10 == 0]) == 30 * 29 // 2
+
+
+def test_queries_and_sql_need_no_session():
+    """The entry file imports, and gives queries and SQL, before any session is there."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and len(q) > 100"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=120)
