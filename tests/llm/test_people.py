@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import random
 
 from pyspark.sql import functions as F
 
@@ -194,3 +195,32 @@ def test_segments_meet_within_the_bound(spark):
 
         near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if dist(texts[i], texts[j]) <= bound]
         assert near and all(own[i] & asked[j] and own[j] & asked[i] for i, j in near)
+
+
+def test_namesakes_and_strangers_of_one_day_make_no_edges(spark):
+    """Pairs that grow with the square of the table and cannot link anyone are no edges."""
+    rng = random.Random(5)
+    tail = lambda: "".join(rng.choice("bcdfghjkmpv") for _ in range(7))
+    people_ = [("Ann", "Meyer", f"19{10 + i}-{1 + i % 12:02}-{10 + i % 18}") for i in range(30)]
+    people_ += [("An" + tail(), "Ke" + tail(), "1950-03-07") for _ in range(30)]
+    pay = [json.dumps({"first_name": f, "last_name": n, "birth_date": d}) for f, n, d in people_]
+    df = spark.createDataFrame([(i, "crm_contacts", p) for i, p in enumerate(pay)], "row_id long, source string, payload string")
+    nodes = people.profiles(df, "row_id", "source").withColumnRenamed("row_id", "node")
+    rows = linkage.key_rows(nodes)
+    for block in (40, 8):
+        edges, load = linkage.candidate_graph(rows, nodes, block)
+        assert edges.count() == 0
+        assert {r.x: r.weak for r in load.collect()}[0] == 29
+    assert linkage.namesakes(rows).count() == 30
+    # a birth date a slip apart still counts
+    more = df.unionByName(spark.createDataFrame([(100, "partner_feed", json.dumps({"FNAME": "Ann", "LNAME": "Meyer", "DOB": "1910-01-12"}))], df.schema))
+    assert {(r.row_id_a, r.row_id_b) for r in linkage.matched_pairs(more).collect()} == {(0, 100)}
+
+
+def test_namesakes_forbid_a_merge(spark):
+    """The third shares no key but the name with the second: their birth dates are looked up before the merge."""
+    ann = {"first_name": "Annabella", "last_name": "Meyerholt"}
+    rows = [(1, "crm_contacts", ann | {"email": "a@x.example", "phone": "5551234567", "zip": "12345"}), (2, "loyalty_cards", {"given": "Annabella", "surname": "Meyerholt", "email": "a@x.example", "phone_no": "5551234567", "birth": 19380506}),
+            (3, "partner_feed", {"FNAME": "Annabella", "LNAME": "Meyerholt", "DOB": "1999-09-19", "ZIP": "12345"})]
+    df = spark.createDataFrame([(i, s, json.dumps(p)) for i, s, p in rows], "row_id long, source string, payload string")
+    assert {(r.row_id_a, r.row_id_b) for r in linkage.matched_pairs(df).collect()} == {(1, 2)}
