@@ -197,6 +197,27 @@ def test_segments_meet_within_the_bound(spark):
         assert near and all(own[i] & asked[j] and own[j] & asked[i] for i, j in near)
 
 
+def test_keys_of_the_index_are_compiled(spark):
+    """No lambda and no generator over an expression: Spark interprets both for every row."""
+    rec = people.profiles(gate_rows(spark), "row_id", "source").withColumnRenamed("row_id", "node")
+    marks = batches.scopes(rec)
+    texts = batches.strings(marks.join(rec.select("node", "n1", "n2", "dob"), "node"))
+    for df in (marks, texts, batches.stored(texts), batches.probes(texts)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in plan
+        assert plan.count("Generate explode(") == plan.count("Generate explode(__items#") > 0
+
+
+def test_hot_scopes_meet_in_parts(spark):
+    rows = [(i, 1, s << 32, 1, "ketovar" + "abc"[i % 3], 1) for i in range(12) for s in (5, 6)]
+    df = spark.createDataFrame(rows, "node long, bit int, scope long, kind int, text string, bound int")
+    asked, own = batches.probes(df), batches.stored(df)
+    hot = spark.createDataFrame([(5, 3, o) for o in range(3)], "tag long, n int, o int")
+    for h in (hot, hot.limit(0)):
+        got = [tuple(r) for r in batches.meet(asked, own, h).collect()]
+        assert sorted(got) == [(a, b, 1) for a in range(12) for b in range(a + 1, 12)]
+
+
 def test_namesakes_and_strangers_of_one_day_make_no_edges(spark):
     """Pairs that grow with the square of the table and cannot link anyone are no edges."""
     rng = random.Random(5)
