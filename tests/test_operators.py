@@ -227,3 +227,31 @@ def test_stream_equals_batch(spark, tmp_path):
     q = matcher.transform_stream(stream, lambda d: d.withColumn("n", F.lower("n")), f"{tmp_path}/out", f"{tmp_path}/cp")
     q.awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 5
+
+
+def test_fellegi_sunter_leaves_no_pair_out(spark):
+    """Against every pair scored one by one: other first words, no entity, copies of one text, missing values."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choices(words[:12] if i % 3 else words, k=rng.choice([2, 12, 13, 40]))) if i % 19 else rng.choice(["", None]), rng.choice(["en", "de", None]), rng.choice("st"), rng.choice([None, 0, 100, 101, 150])) for i in range(90)]
+    rows += [(100 + i, *r[1:]) for i, r in enumerate(rows[:10])]
+    df = spark.createDataFrame(rows, "id long, text string, lang string, source string, n long").repartition(3)
+    fields = [("text", "dice", [0.9, 0.5]), ("lang", "exact", [1.0]), ("source", "exact", [1.0]), ("n", "numeric_diff:pct:0.5", [0.9])]
+    every = df.select(F.col("id").alias("a")).crossJoin(df.select(F.col("id").alias("b"))).where("a < b")
+    lv = matching.levels(matching.attach(every, df, df, "id", ["text", "lang", "source", "n"]), fields)
+    model = matching.train(lv, [3, 2, 2, 2])
+    want = {(r.a, r.b): r.score for r in lv.select("a", "b", model.score(4).alias("score")).where("score >= 0.5").collect()}
+    for rows_of_block in (7, 4000):
+        got = matching.link_all(df, "id", fields, 0.5, rows=rows_of_block).collect()
+        assert len(got) == len(want) and {(r.a, r.b): r.score for r in got} == want
+    assert any((i, 100 + i) in want for i in range(1, 10))
+
+
+def test_fellegi_sunter_query_compares_all(spark, tmp_path):
+    """No entity and another first word: the blocks left this copy out."""
+    t = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, "ticket " + t, "en", "s", 200, None), (2, "see " + t, "en", "s", 200, None), (3, "other text", "de", "u", 10, "e"), (4, "nothing alike", "fr", "v", 900, "f")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, entity_id string").write.parquet(str(tmp_path / "documents.parquet"))
+    from tessera.plans import catalogue
+
+    assert (1, 2) in {(r.a, r.b) for r in catalogue.fellegi_sunter(spark, str(tmp_path)).collect()}
