@@ -356,15 +356,18 @@ def recall_estimate(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def top_k_fuzzy(df: DataFrame, queries: DataFrame, id: str, column: str, scorer: str = "levenshtein", k: int = 3, q: int = 3) -> DataFrame:
     """query, id, score, rank: the k best values of a column for every query text (ties: the
-    least id), among those that share a q-gram with it; equal texts are scored once."""
+    least id), among those that share a q-gram with it; equal texts are scored once, and as no
+    more than the k least ids of a text can be among the best, only those meet the queries."""
     gram = lambda c: F.explode(S.qgrams(F.col(c), q))
     d = df.where(F.col(column).isNotNull()).select(F.col(id).alias("id"), F.col(column).alias("t"))
     u = queries.where(F.col(column).isNotNull()).select(F.col(id).alias("query"), F.col(column).alias("u"))
-    words, asked = d.select("t").distinct(), u.select("u").distinct()
+    best = lambda by, *o: F.row_number().over(Window.partitionBy(by).orderBy(*o))
+    first = d.withColumn("i", best("t", "id")).where(F.col("i") <= k).select("id", "t")
+    words, asked = first.select("t").distinct(), u.select("u").distinct()
     met = asked.select("u", gram("u").alias("g")).join(words.select("t", gram("t").alias("g")), "g").select("u", "t").distinct()
-    s = met.withColumn("score", S.score(scorer, F.col("u"), F.col("t")))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return s.join(u, "u").join(d, "t").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query", "id", "score", "rank")
+    s = met.withColumn("score", S.score(scorer, F.col("u"), F.col("t"))).join(first, "t")
+    s = s.withColumn("rank", best("u", F.desc("score"), "id")).where(F.col("rank") <= k)
+    return u.join(s, "u").select("query", "id", "score", "rank")
 
 
 def ann_pairs(df: DataFrame, id: str, vector: str, dim: int, threshold: float = 0.9, planes: int = 64, bands: int = 8, also: DataFrame | None = None) -> DataFrame:

@@ -255,3 +255,22 @@ def test_fellegi_sunter_query_compares_all(spark, tmp_path):
     from tessera.plans import catalogue
 
     assert (1, 2) in {(r.a, r.b) for r in catalogue.fellegi_sunter(spark, str(tmp_path)).collect()}
+
+
+def test_top_k_fuzzy_joins_no_copies(spark):
+    """300 copies of each text: each of the 600 queries gets its k least rows, and no join makes the 180,000 pairs of copies."""
+    df = spark.createDataFrame([(i, ["hot bolt", "hot ring"][i % 2]) for i in range(600)], "id long, t string")
+    got = matching.top_k_fuzzy(df, df, "id", "t")
+    assert {(r.query, r.id, r["rank"]) for r in got.collect()} == {(i, i % 2 + 2 * j, j + 1) for i in range(600) for j in range(3)}
+    plan = got._jdf.queryExecution().executedPlan()
+    got._jdf.queryExecution().toRdd().count()
+
+    def rows(p):
+        while p.nodeName() == "AdaptiveSparkPlan" or p.nodeName().endswith("QueryStage"):
+            p = p.executedPlan() if p.nodeName() == "AdaptiveSparkPlan" else p.plan()
+        m = p.metrics().get("numOutputRows")
+        own = m.get().value() if m.isDefined() else 0
+        c = p.children()
+        return max([own] + [rows(c.apply(i)) for i in range(c.size())])
+
+    assert rows(plan) <= 4000  # 1800 a run
