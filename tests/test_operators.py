@@ -274,3 +274,22 @@ def test_top_k_fuzzy_joins_no_copies(spark):
         return max([own] + [rows(c.apply(i)) for i in range(c.size())])
 
     assert rows(plan) <= 4000  # 1800 a run
+
+
+def test_pairs_of_blocks_are_not_shuffled(spark):
+    """Each pair once, also of an id in several rows, of pairs that share several keys and of hot keys, with no aggregate over pairs."""
+    rng = random.Random(4)
+    rows = [(rng.randrange(150), rng.choice([*"pqr", "hot", "hot", None]), rng.choice("uv")) for _ in range(260)] + [(None, "p", "u")]
+    df = spark.createDataFrame(rows, "id long, g string, h string")
+    passes = [[("g", [])], [("h", []), ("g", [])], [("h", [])]]
+    keys = {}
+    for i, g, h in rows:
+        keys.setdefault(i, set()).update(({("g", g), ("gh", g, h)} if g else set()) | {("h", h)})
+    ids = sorted(i for i in keys if i is not None)
+    for got, kinds in ((blocking.static(df, "id", passes[0]), {"g"}), (blocking.multi_pass(df, "id", passes), {"g", "gh", "h"})):
+        want = sorted((a, b) for a in ids for b in ids if a < b and any(k[0] in kinds for k in keys[a] & keys[b]))
+        assert sorted((r.a, r.b) for r in got.collect()) == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Aggregate" not in plan.split("Join")[0]
+    k = df.select("id", F.col("g").alias("k"))
+    assert sorted(map(tuple, blocking.pairs_once(k, part=7).collect())) == sorted(map(tuple, blocking.pairs_of(k).collect()))
