@@ -91,15 +91,93 @@ def dedup(scored: DataFrame) -> DataFrame:
     return scored.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").groupBy("a", "b").agg(F.max("score").alias("score"))
 
 
-def split_by_tree(members: DataFrame, scored: DataFrame, max_size: int = 100) -> DataFrame:
+def tree_parts(max_size: int):
+    """Of one cluster: rows (a, b, score, h) are edges, rows without b members. The parts that
+    :func:`split_by_tree` cuts it into."""
+
+    def labels(n, p, q):
+        import numpy as np
+
+        lab = np.arange(n)
+        while True:
+            low = np.minimum(lab[p], lab[q])
+            new = lab.copy()
+            np.minimum.at(new, lab[p], low)
+            np.minimum.at(new, lab[q], low)
+            while True:
+                up = new[new]
+                if (up == new).all():
+                    break
+                new = up
+            if (new == lab).all():
+                return lab
+            lab = new
+
+    def parts(table):
+        import numpy as np
+        import pyarrow as pa
+
+        is_edge = np.asarray(table["b"].is_valid())
+        who = table["a"].combine_chunks()
+        member = who.filter(pa.array(~is_edge))
+        member = member.take(pa.compute.sort_indices(member))
+        n = len(member)
+        edges = table.filter(pa.array(is_edge))
+        p, q = (np.asarray(pa.compute.index_in(edges[c].combine_chunks(), value_set=member)) for c in "ab")
+        score, h = np.asarray(edges["score"], float), np.asarray(edges["h"], np.int64)
+        root, tree = list(range(n)), []
+        for i in np.lexsort((q, p, -score)).tolist():
+            x, y = int(p[i]), int(q[i])
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            while root[y] != y:
+                root[y] = y = root[root[y]]
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                tree.append(i)
+        tree = np.array(tree, int)
+        tree = tree[np.lexsort((h[tree], score[tree]))]  # the weakest first
+        lab = np.zeros(n, int)  # the cluster as it came
+        while True:
+            size = np.bincount(lab, minlength=n)
+            of = lab[p[tree]]
+            order = np.argsort(of, kind="stable")
+            first = np.searchsorted(of[order], of[order])
+            cut_ = np.zeros(len(tree), bool)
+            cut_[order] = np.arange(len(tree)) - first < -(-size[of[order]] // max_size) - 1
+            tree = tree[~cut_]
+            new = labels(n, p[tree], q[tree])
+            if not cut_.any() and (new == lab).all():
+                break
+            lab = new
+        return pa.table({"member": member, "cluster_id": member.take(pa.array(lab))})
+
+    return parts
+
+
+def split_by_tree(members: DataFrame, scored: DataFrame, max_size: int = 100, local_edges: int = 1_000_000) -> DataFrame:
     """member, cluster_id: a cluster of n members above ``max_size`` loses the
     ceil(n / max_size) - 1 weakest edges of its maximum spanning tree - no fewer could
-    do -, and so does every part that is still too large, until all fit. All clusters are
-    cut at once; equal scores are ordered by a hash of the pair."""
+    do -, and so does every part that is still too large, until all fit. Equal scores are
+    ordered by a hash of the pair.
+
+    A cluster of up to ``local_edges`` edges is cut in one group; greater ones all at
+    once, in rounds over shared tables."""
     size = members.groupBy("cluster_id").agg(F.count("*").alias("n"))
     marked = cut(members.join(size, "cluster_id"))
-    small, large = marked.where(f"n <= {max_size}").select("member", "cluster_id"), cut(marked.where(f"n > {max_size}").select("member", "cluster_id"))
-    inside = scored.join(large.select(F.col("member").alias("a")), "a", "left_semi").join(large.select(F.col("member").alias("b")), "b", "left_semi")
+    small, large = marked.where(f"n <= {max_size}").select("member", "cluster_id"), marked.where(f"n > {max_size}").select("member", "cluster_id")
+    e = dedup(scored).join(large.select(F.col("member").alias("a"), "cluster_id"), "a").join(large.select(F.col("member").alias("b"), "cluster_id"), ["b", "cluster_id"])
+    e = cut(e.select("cluster_id", "a", "b", "score", F.xxhash64("a", "b").alias("h")))
+    far = cut(e.groupBy("cluster_id").agg(F.count("*").alias("n")).where(F.col("n") > local_edges).select("cluster_id"))
+    kind = dict(members.dtypes)["member"]
+    rows = e.withColumn("score", F.col("score").cast("double")).unionByName(large.select("cluster_id", F.col("member").alias("a")), allowMissingColumns=True)
+    out = small.unionByName(rows.join(far, "cluster_id", "left_anti").groupBy("cluster_id").applyInArrow(tree_parts(max_size), f"member {kind}, cluster_id {kind}"))
+    if not far.take(1):
+        return out
+    return out.unionByName(_split_in_rounds(cut(large.join(far, "cluster_id", "left_semi").select("member", "cluster_id")), e.join(far, "cluster_id", "left_semi").select("a", "b", "score"), max_size))
+
+
+def _split_in_rounds(large: DataFrame, inside: DataFrame, max_size: int) -> DataFrame:
     tree = cut(spanning_tree(inside))
     while True:
         size = large.groupBy("cluster_id").agg(F.count("*").alias("n")).where(f"n > {max_size}")
@@ -107,7 +185,7 @@ def split_by_tree(members: DataFrame, scored: DataFrame, max_size: int = 100) ->
         w = Window.partitionBy("cluster_id").orderBy("score", F.xxhash64("a", "b"))
         weak = cut(of.withColumn("i", F.row_number().over(w)).where(F.col("i") < F.ceil(F.col("n") / max_size)).select("a", "b"))
         if not weak.take(1):
-            return small.unionByName(large)
+            return large
         tree = cut(tree.join(weak, ["a", "b"], "left_anti"), tree, weak)
         large = cut(components(tree, large.select("member")), large)
 

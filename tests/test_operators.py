@@ -293,3 +293,21 @@ def test_pairs_of_blocks_are_not_shuffled(spark):
         assert "Aggregate" not in plan.split("Join")[0]
     k = df.select("id", F.col("g").alias("k"))
     assert sorted(map(tuple, blocking.pairs_once(k, part=7).collect())) == sorted(map(tuple, blocking.pairs_of(k).collect()))
+
+
+def test_split_by_tree_in_one_group(spark, monkeypatch):
+    """A large cluster is cut in one group, without rounds over shared tables, into the parts the rounds give."""
+    rng = random.Random(8)
+    edges = {(rng.randrange(i), i) for i in range(1, 90)} | {tuple(sorted(rng.sample(range(90), 2))) for _ in range(60)} | {(200, 201), (201, 202)}
+    scored = spark.createDataFrame([(f"r{a:03}", f"r{b:03}", rng.choice([0.5, 0.7, rng.random()])) for a, b in sorted(edges)], "a string, b string, score double")
+    m = clusters.components(scored)
+    parts = lambda s: {r.member: r.cluster_id for r in s.collect()}
+    rounds = parts(clusters.split_by_tree(m, scored, 20, local_edges=0))
+
+    def never(*a):
+        raise AssertionError("rounds over shared tables")
+
+    monkeypatch.setattr(clusters, "spanning_tree", never)
+    one = parts(clusters.split_by_tree(m, scored, 20))
+    assert one == rounds and len(one) == 93 and one["r202"] == "r200"
+    assert max(list(one.values()).count(c) for c in set(one.values())) <= 20
